@@ -67,12 +67,12 @@ def remove_property(rows: DataFrame, name: str, where: Column) -> DataFrame:
     return set_property(rows, name, F.lit(None), where)
 
 
-def delete(nodes: DataFrame, edges: DataFrame, where: Column, detach: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) without the chosen nodes; without detach it fails if one of them still has an edge."""
+def delete(nodes: DataFrame, edges: DataFrame, where: Column, detach: bool = False, ends: tuple[str, ...] = ("src", "dst")) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without the chosen nodes, which may be at these ends of the edges; without detach it fails if one still has an edge."""
     gone = nodes.where(where).select(F.col("id").alias("__gone"))
-    if not detach:
-        if edges.join(gone, F.col("src") == F.col("__gone"), "left_semi").limit(1).count() or edges.join(gone, F.col("dst") == F.col("__gone"), "left_semi").limit(1).count():
+    left = edges
+    for end in ends:
+        if not detach and edges.join(gone, F.col(end) == F.col("__gone"), "left_semi").limit(1).count():
             raise ValueError("a node to delete still has edges")
-        return nodes.join(gone, F.col("id") == F.col("__gone"), "left_anti"), edges
-    left = edges.join(gone, F.col("src") == F.col("__gone"), "left_anti").join(gone, F.col("dst") == F.col("__gone"), "left_anti")
+        left = left.join(gone, F.col(end) == F.col("__gone"), "left_anti")
     return nodes.join(gone, F.col("id") == F.col("__gone"), "left_anti"), left
