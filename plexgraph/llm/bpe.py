@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from plexgraph.llm.runtime import replaced
 
 END = "</w>"
-#: Entries of the caches of words and fragments; a full cache is emptied.
-CACHE = 400_000
-_NEVER = 1 << 40
-_NONE = (_NEVER, 0)
+#: Entries of the cache of words; a full cache is emptied.
+CACHE = 600_000
+#: A merge is one number, its rank over its id, so that the least number is the first merge.
+_ID_BITS = 20
+_ID = (1 << _ID_BITS) - 1
+_NEVER = 1 << 60
 _codecs: dict[str, Codec] = {}
 
 
@@ -69,7 +71,7 @@ class Codec:
         self.merges = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges[self.vocabulary[left], self.vocabulary[right]] = (rank, self.vocabulary[left + right])
+            self.merges[self.vocabulary[left] << _ID_BITS | self.vocabulary[right]] = rank << _ID_BITS | self.vocabulary[left + right]
         self.inside = set()
         for token in self.vocabulary:
             raw = [byte_of.get(c) for c in (token.removesuffix(END) if token != END else token)]
@@ -80,47 +82,43 @@ class Codec:
         self.space = regex.compile(r"[\t-\r\x20\x85\p{Z}]+")
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", r"\t-\r\x20\x85\p{Z}")).findall
-        self.fragments: dict[tuple[bytes, bool], array] = {}
         self.words = _Words(self)
 
-    def fragment(self, raw: bytes, last: bool) -> array:
+    def fragment(self, raw: bytes, last: bool) -> list[int]:
         """The ids of a fragment; `last`: the end of its word."""
-        known = self.fragments.get((raw, last))
-        if known is None:
-            ids = [self.first[b] for b in raw]
-            if last:
-                ids[-1] = self.final[raw[-1]]
-            merge = self.merges.get
-            ranks = [merge(pair, _NONE)[0] for pair in zip(ids, ids[1:])]
-            while ranks:
-                least = min(ranks)
-                if least == _NEVER:
-                    break
-                i = ranks.index(least)
-                ids[i : i + 2] = [merge((ids[i], ids[i + 1]))[1]]
-                del ranks[i]
-                if i:
-                    ranks[i - 1] = merge((ids[i - 1], ids[i]), _NONE)[0]
-                if i < len(ranks):
-                    ranks[i] = merge((ids[i], ids[i + 1]), _NONE)[0]
-            known = array("i", ids)
-            if len(self.fragments) >= CACHE // 4:
-                self.fragments.clear()
-            self.fragments[raw, last] = known
-        return known
-
-    def word(self, word: str) -> array:
-        """The ids of a run without white space, in lower case."""
-        ids = array("i")
-        for piece in self.pieces(word):
-            raw, start = piece.encode(), 0
-            for i in range(1, len(raw)):
-                if (raw[i - 1], raw[i]) not in self.inside:
-                    ids += self.fragment(raw[start:i], False)
-                    start = i
-            ids += self.fragment(raw[start:], True)
+        ids = [self.first[b] for b in raw]
+        if last:
+            ids[-1] = self.final[raw[-1]]
+        merge = self.merges.get
+        merges = [merge(a << _ID_BITS | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while merges:
+            least = min(merges)
+            if least == _NEVER:
+                break
+            i = merges.index(least)
+            ids[i] = new = least & _ID
+            del ids[i + 1], merges[i]
+            if i:
+                merges[i - 1] = merge(ids[i - 1] << _ID_BITS | new, _NEVER)
+            if i < len(merges):
+                merges[i] = merge(new << _ID_BITS | ids[i + 1], _NEVER)
         return ids
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece of the splitting pattern, its fragments encoded on their own."""
+        raw, start, ids, inside = piece.encode(), 0, [], self.inside
+        for cut in [i for i, pair in enumerate(zip(raw, raw[1:]), 1) if pair not in inside]:
+            ids += self.fragment(raw[start:cut], False)
+            start = cut
+        return array("i", ids + self.fragment(raw[start:], True)).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The ids of a run without white space, in lower case; a piece of it is a word of its own."""
+        pieces = [word] if word.isalpha() and word.isascii() else self.pieces(word)
+        if len(pieces) == 1:
+            return self.piece(pieces[0])
+        return b"".join(map(self.words.__getitem__, pieces))
+
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a text as 32-bit numbers in a row."""
         if self.special is not None and "<" in text:
@@ -129,10 +127,10 @@ class Codec:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if text.isascii():
-            return b"".join(map(self.words.__getitem__, text.lower().translate(_SEPARATORS).split(" ")))
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.words.__getitem__, self.space.split(text)))
+        text = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+        # str.split() takes 0x1C-0x1F for white space too
+        parts = self.space.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return b"".join(map(self.words.__getitem__, parts))
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.encode_bytes(text or "")).tolist()
@@ -141,9 +139,6 @@ class Codec:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_SEPARATORS = {c: " " for c in range(9, 14)}
-
-
 class _Words(dict):
     """Ids by word, filled as words come."""
 
@@ -152,7 +147,7 @@ class _Words(dict):
         self.codec = codec
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.codec.word(word).tobytes()
+        ids = self.codec.word(word)
         if len(self) >= CACHE:
             self.clear()
             self[""] = b""
