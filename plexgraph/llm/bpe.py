@@ -29,7 +29,7 @@ from plexgraph.llm.runtime import replaced
 
 END = "</w>"
 #: Entries of the cache of words; a full cache is emptied.
-CACHE = 600_000
+CACHE = 800_000
 #: A merge is one number, its rank over its id, so that the least number is the first merge.
 _ID_BITS = 20
 _ID = (1 << _ID_BITS) - 1
@@ -91,10 +91,7 @@ class Codec:
             ids[-1] = self.final[raw[-1]]
         merge = self.merges.get
         merges = [merge(a << _ID_BITS | b, _NEVER) for a, b in zip(ids, ids[1:])]
-        while merges:
-            least = min(merges)
-            if least == _NEVER:
-                break
+        while merges and (least := min(merges)) != _NEVER:
             i = merges.index(least)
             ids[i] = new = least & _ID
             del ids[i + 1], merges[i]
@@ -107,6 +104,8 @@ class Codec:
     def piece(self, piece: str) -> bytes:
         """The ids of one piece of the splitting pattern, its fragments encoded on their own."""
         raw, start, ids, inside = piece.encode(), 0, [], self.inside
+        if inside.issuperset(zip(raw, raw[1:])):
+            return array("i", self.fragment(raw, True)).tobytes()
         for cut in [i for i, pair in enumerate(zip(raw, raw[1:]), 1) if pair not in inside]:
             ids += self.fragment(raw[start:cut], False)
             start = cut
