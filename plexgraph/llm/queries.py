@@ -26,8 +26,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").distinct()
-    model = toxicity.fit(docs.where(~toxicity.held_out()).join(labels, "doc_id"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     rows = toxicity.score(docs, model)
     return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

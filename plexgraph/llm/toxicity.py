@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexgraph.llm.runtime import replaced
+from plexgraph.llm.runtime import replaced, stored
 from plexgraph.llm.textvec import LOWER, PLAIN_CHAR, blocks, mix64, span_hashes, string_bytes, words
 
 TRAIN_DOCS = 6000
@@ -132,12 +132,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[features, np.ones(len(features))] @ self.weights, -30, 30)))
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | float:
-    """A model of rows (doc_id, text, toxic), or the share of toxic rows where a class is missing."""
-    rows = labelled.where("doc_id is not null and text is not null and toxic in (0, 1)")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    alike = [rows.where(F.col("toxic") == label).orderBy(*order).limit(train_docs // 2) for label in (0, 1)]
-    rows = alike[0].unionByName(alike[1]).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | float:
+    """A model of docs (doc_id, text) and labels (doc_id, toxic), or the share of toxic rows where a class is missing.
+
+    The sample is chosen among the labels alone, so that it can be broadcast to
+    the documents (train_docs rows at most) and no text is shuffled.
+    """
+    labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    alike = [labels.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2) for label in (0, 1)]
+    chosen = F.broadcast(alike[0].unionByName(alike[1]))
+    rows = stored(docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id"), "labelled")
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
     counts = rows.where(~calibrates).select("text", "toxic").mapInArrow(_pair_counts, "toxic int, before long, word long")
     table = counts.groupBy("toxic", "before", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()

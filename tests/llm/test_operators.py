@@ -153,11 +153,11 @@ def test_toxicity_on_held_out_texts(spark):
     plain = sentences(400, 8, 30)
     rows = [(i, t + (" vile scum rot" if i % 4 == 0 else ""), int(i % 4 == 0)) for i, t in enumerate(plain)]
     docs = spark.createDataFrame([*rows, (None, "x", 1), (500, None, 0), (501, "", None)], "doc_id long, text string, toxic int")
-    model = toxicity.fit(docs.where(~toxicity.held_out()))
+    model = toxicity.fit(docs, docs.where(~toxicity.held_out()))
     got = toxicity.score(docs.where(toxicity.held_out()), model).where("doc_id < 400").collect()
     assert sum((r.score >= 0.5) == bool(r.toxic) for r in got) / len(got) > 0.95
     assert toxicity.score(docs, model).where("score between 0 and 1").count() == 403
-    assert toxicity.fit(docs.where("toxic = 0")) == 0.0
+    assert toxicity.fit(docs, docs.where("toxic = 0")) == 0.0
 
 
 def test_pseudo_likelihood_prefers_what_it_knows(spark):
