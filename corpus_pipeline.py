@@ -34,10 +34,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere; a character goes only as a whole."""
-    rows = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("text").isNull() | (F.col("n_removed") == 0), F.col("text")).otherwise(F.expr("try_validate_utf8(cast(kept as string))"))
-    loose = F.decode(F.col("kept"), "UTF-8")
-    text = F.coalesce(text, F.when(F.col("text").isNotNull(), F.translate(loose, "�", "")))
+    rows = suffix_dedup.remove_repeats(docs, whole_characters=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
     return rows.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 

@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, text: str = "text", hot: i
     return spans
 
 
-def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
+def _without(text: pa.Array, spans: pa.Array, whole_characters: bool = False) -> pa.Array:
     raw, at = string_bytes(text)
     offsets, flat = spans.offsets.to_numpy(), spans.flatten()
     low, high = flat.field("low").to_numpy(), flat.field("high").to_numpy()
@@ -187,19 +187,26 @@ def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
         np.add.at(edges, a, 1)
         np.add.at(edges, b, -1)
         gone = np.cumsum(edges)[:-1] > 0
+        if whole_characters and len(data):
+            character = np.cumsum((data & 0xC0) != 0x80) - 1
+            gone = (np.bincount(character[gone], minlength=character[-1] + 1) > 0)[character]
         kept.append(data[~gone].tobytes())
         removed.append(int(gone.sum()))
         runs.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["kept", "n_removed", "n_spans"])
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", hot: int = HOT) -> DataFrame:
-    """docs with kept (binary: the bytes left), n_bytes, n_removed and n_spans (maximal removed runs)."""
+def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", hot: int = HOT, whole_characters: bool = False) -> DataFrame:
+    """docs with kept (binary: the bytes left), n_bytes, n_removed and n_spans (maximal removed runs).
+
+    With whole_characters a character of which any byte is removed goes as a whole, so that kept is valid UTF-8.
+    """
     spans = repeated_spans(docs, span, text, hot)
     column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.struct("*").alias("doc"), *text_keys(column), column.alias("text"))
     rows = rows.join(spans, ["k1", "k2"], "left")
-    touched = rows.where("spans is not null").withColumn("out", F.arrow_udf(_without, "struct<kept: binary, n_removed: bigint, n_spans: bigint>")("text", "spans"))
+    without = F.arrow_udf(lambda texts, found: _without(texts, found, whole_characters), "struct<kept: binary, n_removed: bigint, n_spans: bigint>")
+    touched = rows.where("spans is not null").withColumn("out", without("text", "spans"))
     whole = rows.where("spans is null").withColumn("out", F.struct(F.col("text").cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")))
     both = touched.unionByName(whole)
     low = {"kept", "n_bytes", "n_removed", "n_spans"}

@@ -184,3 +184,26 @@ def test_pipeline_stages_return_the_columns_of_documents(spark):
         assert sorted(out.columns) == sorted(docs.columns), name
         assert 0 < out.count() <= 2 * docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_pipeline_takes_out_whole_characters(spark):
+    import corpus_pipeline
+
+    passage, other = "é" * 150, sentences(4, 3)
+    # the passage is 300 bytes from an even byte on; the cut of the shifted one falls inside characters
+    docs = docs_of(spark, [other[0] + passage, other[1] + passage, other[2] + "\u00c9\u00e9" * 110, other[3] + "\ufffd" + "\u20ac\u00e9" * 90, None, ""])
+    rows = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    assert rows[0] == other[0] and rows[1] == other[1]
+    assert rows[2] == other[2] and rows[3] == other[3] + "\ufffd"
+    assert rows[4] is None and rows[5] == ""
+
+
+def test_runs_that_end_inside_a_character():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+    spans = pa.array([[{"low": 1, "high": 3}], [{"low": 0, "high": 1}], []], kind)
+    out = suffix_dedup._without(pa.array(["aéé\ufffd", "€b", ""]), spans, whole_characters=True).to_pylist()
+    assert [(r["kept"].decode(), r["n_removed"], r["n_spans"]) for r in out] == [("aé\ufffd", 2, 1), ("b", 3, 1), ("", 0, 0)]
+    spans = pa.array([[{"low": 2, "high": 4}]], kind)
+    assert suffix_dedup._without(pa.array(["aéé"]), spans, whole_characters=True).to_pylist()[0]["kept"] == b"a"
