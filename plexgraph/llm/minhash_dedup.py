@@ -15,8 +15,10 @@ rare to common, two texts of similarity t share one of the first runs that weigh
 more than 1 - t of either. Where more than PAIRED texts share such a run, all are
 compared with one of them as a leader, and those that aren't similar to it with
 a next, LEADERS in all; the second is the lightest, the most similar to those that
-have nothing rarer in common. (What is similar only to texts that were no leader
-there, and shares no rarer run with them, is not linked; README has figures.)
+have nothing rarer in common. Then all pairs of the run's texts that the links so
+far leave in different components are tried, in blocks: sums of weights in a small
+hashed sketch bound the similarity from above and rule most of them out, and the
+rest are compared. So each link that is left out is between texts of one class.
 Pairs whose weighted Jaccard similarity is at least `threshold` are
 links; classes are the connected components.
 
@@ -45,6 +47,10 @@ TABLE = 1 << 16
 COMMON = 0.1
 PAIRED = 32
 LEADERS = 5
+#: Texts of a crowded prefix run that are dealt to one task to be paired with as many others.
+BLOCK = 512
+#: Entries of the sketch that rules out pairs of crowded prefix runs.
+SKETCH = 128
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -99,11 +105,11 @@ def run_weights(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(weights: np.ndarray, counts: np.ndarray, threshold: float):
-    """The runs of each text from the rarest on, until they weigh more than 1 - threshold of it."""
+    """The runs of each text from the rarest on, until they weigh more than 1 - threshold of it; its weight, and that of the runs of each entry of a sketch."""
 
     def prefix(text: pa.Array) -> pa.Array:
         data, offsets = string_bytes(text)
-        out, sums = [], []
+        out, sums, sketches = [], [], []
         for i in range(len(text)):
             run, _, weight = weighted_runs(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), weights)
             order = np.lexsort((run, counts[(run & np.uint64(TABLE - 1)).astype(np.int64)]))
@@ -111,9 +117,13 @@ def _prefixes(weights: np.ndarray, counts: np.ndarray, threshold: float):
             first = int(np.searchsorted(total, (1 - threshold) * total[-1] * (1 + 1e-9), "right")) + 1 if len(total) else 0
             out.append(run[order[:first]].view(np.int64))
             sums.append(float(total[-1]) if len(total) else 0.0)
-        return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(sums)], ["runs", "weight"])
+            # rounded up, so that sums of minima stay bounds; what is too large becomes infinite
+            sketch = np.bincount(((run >> np.uint64(20)) & np.uint64(SKETCH - 1)).astype(np.int64), weight, SKETCH) * 1.001
+            with np.errstate(over="ignore"):
+                sketches.append(sketch.astype(np.float16).tobytes())
+        return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(sums), pa.array(sketches, pa.binary())], ["runs", "weight", "sketch"])
 
-    return F.arrow_udf(prefix, "struct<runs: array<bigint>, weight: double>")
+    return F.arrow_udf(prefix, "struct<runs: array<bigint>, weight: double, sketch: binary>")
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,14 +170,24 @@ def _band_column(weights: np.ndarray):
 
 def _similarity_column(weights: np.ndarray):
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = np.zeros(len(left))
+        out, known, held = np.zeros(len(left)), {}, 0
         sides = [string_bytes(left), string_bytes(right)]
         for i in range(len(left)):
-            (ra, _, wa), (rb, _, wb) = (weighted_runs(data[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), weights) for data, at in sides)
-            _, x, y = np.intersect1d(ra, rb, assume_unique=True, return_indices=True)
-            shared = np.minimum(wa[x], wb[y]).sum()
-            whole = wa.sum() + wb.sum() - shared
-            out[i] = shared / whole if whole else 0.0
+            pair = []
+            for data, at in sides:
+                text = data[at[i] : at[i + 1]]
+                name = text.tobytes()
+                if name not in known:  # most texts come again, so their runs are kept, about a million at most
+                    run, _, weight = weighted_runs(text, np.array([0, len(text)]), weights)
+                    if held > 1 << 20:
+                        known, held = {}, 0
+                    known[name], held = (run, weight, weight.sum()), held + len(run)
+                pair.append(known[name])
+            (ra, wa, sa), (rb, wb, sb) = pair
+            if len(ra) and len(rb):
+                at_a = np.minimum(np.searchsorted(ra, rb), len(ra) - 1)
+                shared = np.minimum(wa[at_a], wb)[ra[at_a] == rb].sum()
+                out[i] = shared / (sa + sb - shared)
         return pa.array(out)
 
     return F.arrow_udf(similarity, "double")
@@ -192,6 +212,49 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
     return small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
 
 
+def _possible(threshold: float):
+    """Pairs between the two blocks of a group (within it, if it is one) that differ in label and whose sketches allow the threshold."""
+
+    def pairs(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side = group.column("own").to_numpy() == group.column("j").to_numpy()[0]
+        label, weight = group.column("label").to_numpy(), group.column("weight").to_numpy()
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.float16).reshape(-1, SKETCH).astype(np.float32)
+        one = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        left, right = np.flatnonzero(side if one else ~side), np.flatnonzero(side)
+        columns, found = np.ascontiguousarray(sketch[right].T), []
+        for x in left:
+            most = np.zeros(len(right), np.float32)
+            for entry in range(SKETCH):
+                most += np.minimum(columns[entry], sketch[x, entry])
+            most = np.minimum(np.minimum(most * 1.0001, weight[right]), weight[x])
+            possible = (most * (1 + threshold) >= threshold * (weight[right] + weight[x]) * (1 - 1e-6)) & (label[right] != label[x])
+            if one:
+                possible &= right > x
+            found += [(x, y) for y in right[possible]]
+        x, y = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
+        return pa.table({"one": group.column("node_id").take(x), "other": group.column("node_id").take(y)})
+
+    return pairs
+
+
+def _pairs_across(prefixes: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of a crowded prefix run that are in different components so far and whose sketches allow the threshold.
+
+    A run's texts are dealt to blocks of about BLOCK, and each pair of blocks is a group of its own.
+    """
+    named = F.struct(F.xxhash64("label").alias("label"), "weight", "sketch")
+    texts = sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", named.alias("of"))
+    texts = stored(texts, "labelled")
+    rows = prefixes.join(texts.select("node", "of.label"), "node")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where((F.col("n") > PAIRED) & (F.col("low") != F.col("high")))
+    rows = rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.join(texts, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("node_id"), "of.*")
+    found = rows.groupBy("key", "i", "j").applyInArrow(_possible(threshold), "one struct<k1: bigint, k2: bigint>, other struct<k1: bigint, k2: bigint>")
+    return stored(found.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), "across")
+
+
 def _links(members: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> list[DataFrame]:
     """Tables of links (a, b) among the members (key, node) of each bucket."""
     similarity = _similarity_column(weights)
@@ -205,7 +268,8 @@ def _links(members: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
     prefix = _prefixes(weights, _table_counts(crowded.select("text")), threshold)
     # dealt out evenly: the small files of the join before are few for so much work
     dealt = crowded.repartition("node").select("node", prefix("text").alias("prefix"))
-    members = stored(dealt.select(F.explode("prefix.runs").alias("key"), "node", "prefix.weight"), "prefixes")
+    sketches = stored(dealt.select("node", "prefix.*"), "sketches")
+    members = prefixes = stored(sketches.select(F.explode("runs").alias("key"), "node", "weight"), "prefixes")
     for turn in range(LEADERS):
         rows = _sized(members, F.struct("weight", "node") if turn == 1 else F.struct("node"))
         star = rows.where((F.col("n") > PAIRED) & (F.col("node") != F.col("leader"))).select("key", F.col("leader").alias("a"), F.col("node").alias("b"), "weight")
@@ -214,6 +278,7 @@ def _links(members: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
         discard(rows)
         if not members.limit(1).count():
             break
+    edges.append(_linked(_pairs_across(prefixes.select("key", "node"), sketches.drop("runs"), components(_union(edges)), threshold), crowded, similarity, threshold))
     return edges
 
 

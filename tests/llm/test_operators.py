@@ -82,6 +82,35 @@ def test_near_duplicates_of_a_crowded_bucket(spark, monkeypatch):
     assert {r.class_id for r in minhash_dedup.near_duplicates(docs_of(spark, texts)).collect()} == {0}
 
 
+def test_chains_in_crowded_buckets_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "PAIRED", 1)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
+    rng = random.Random(4)
+    texts = []
+    for size in (24, 1, 15):  # versions of one text, each an edit of one before it
+        versions = [[f"w{rng.randrange(10**6)}" for _ in range(60)]]
+        while len(versions) < size:
+            words = list(rng.choice(versions[-3:]))
+            at = rng.randrange(5, 55)
+            versions.append([*words[:at], f"e{len(texts)}x{len(versions)}", *words[at + 1 :]])
+        texts += [" ".join(v) for v in versions]
+    docs = docs_of(spark, texts)
+    weights = minhash_dedup.run_weights(docs.select("text"))
+    sets = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        run, _, weight = minhash_dedup.weighted_runs(data, np.array([0, len(data)]), weights)
+        sets.append(dict(zip(run.tolist(), weight.tolist())))
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            shared = sum(min(a[r], b[r]) for r in a.keys() & b.keys())
+            if shared >= 0.8 * (sum(a.values()) + sum(b.values()) - shared):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    rows = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == label
+
+
 def test_bpe_against_the_library(spark):
     from tokenizers import Tokenizer
 
