@@ -8,8 +8,8 @@ pseudo-log-likelihood of a text.
 The vocabulary has the TOP words most frequent in all documents; all others share
 VOCABULARY - TOP entries by their hash. The network is trained in numpy by
 rounds: from one common start each task goes through all its documents, every
-STRIDE-th word of each being a target (the document's length and hash set where
-that begins), and Spark averages the tasks' parameters, weighted by targets.
+word of each being a target, and Spark averages the tasks' parameters, weighted
+by targets.
 
 Cases: a null or empty text, or one without words, has n_words 0, pll 0 and a
 null mean_pll. An empty table leaves the network at its start.
@@ -27,7 +27,6 @@ from plexgraph.llm.textvec import LOWER, PLAIN_CHAR, blocks, mix64, span_hashes,
 VOCABULARY, TOP = 1024, 960
 CLASSES = 32
 SIDE, WIDTH, HIDDEN = 2, 12, 32
-STRIDE = 16
 ROUNDS = 2
 RATE = 0.08
 BATCH = 1024
@@ -156,9 +155,7 @@ def _training(network):
         for batch in batches:
             data, offsets = string_bytes(batch.column(0))
             for a, b in blocks(offsets):
-                own, around, row = own_network.contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                chosen = (np.arange(len(own)) + row) % STRIDE == 0
-                held.append((own[chosen], around[chosen]))
+                held.append(own_network.contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[:2])
                 size += len(held[-1][0])
                 if size >= BATCH:
                     own, around = (np.concatenate(x) for x in zip(*held))

@@ -189,6 +189,17 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.fit(docs, docs.where("toxic = 0")) == 0.0
 
 
+def test_each_word_is_a_target_of_training():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    network = pseudo_likelihood.Network(np.zeros(0, np.uint64))
+    texts = [*sentences(30, 8, 50), "one", "", "a b c"]
+    learned = list(pseudo_likelihood._training(SimpleNamespace(value=network))(iter([pa.record_batch([pa.array(texts)], ["text"])])))
+    assert {w for batch in learned for w in batch.column("weight").to_pylist()} == {30 * 50 + 4.0}
+
+
 def test_pseudo_likelihood_prefers_what_it_knows(spark):
     docs = docs_of(spark, ["to be or not to be that is the question " * 40] * 60 + [None, "", "zz yy xx ww vv " * 20])
     rows = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs.select("text"), rounds=1)).collect()
