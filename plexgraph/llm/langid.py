@@ -7,13 +7,14 @@ probabilities of the languages, also where a text switches between them; the
 language of a text is the one with the highest mean over its words, and that mean
 is the score.
 
-The field is trained by Adam on a bounded sample: for each language the
-TRAIN_DOCS documents least by the hash of their id, SLICE words each from a
-place that the hash decides. Chains for training put runs of words of several
-languages together. Prediction reads whole texts.
-
-Cases: a null text or one without a letter is `und` with score 0. Documents of
-null language or null id aren't learned from. Without any labelled document, all
+The field is trained by Adam on a bounded sample of whole texts: for each language
+the TRAIN_DOCS documents least by the hash of their id. Chains for training put
+runs of words of several languages together. Prediction reads whole texts, and
+word_languages labels each word of a text.
+
+Cases: a null text or one without a letter is `und` with score 0, and its list of
+word labels is empty. Documents of null language or null id aren't learned from; of
+an id that several documents have, all are. Without any labelled document, all
 texts are `und`.
 """
 
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexgraph.llm.runtime import replaced
 from plexgraph.llm.textvec import LOWER, blocks, mix64, span_hashes, string_bytes, words
 
 FEATURES = 1 << 15
-TRAIN_DOCS = 250
-SLICE = 120
+TRAIN_DOCS = 100
 PIECE = 32
 #: Letters, and all bytes of other characters; apostrophes and the like end a word.
 LETTER = np.zeros(256, bool)
@@ -128,7 +129,7 @@ class Field:
         both = ahead[real][:-1, :, None] * step * late[real][1:, None, :]
         return out[real], both / both.sum((1, 2), keepdims=True)
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = 6, seed: int = 7) -> None:
+    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = 3, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         data, offsets = string_bytes(pa.array(texts))
         data, start, end, number, row = _distinct_words(data, offsets)
@@ -170,29 +171,43 @@ class Field:
                     means[1][j] = 0.99 * means[1][j] + 0.01 * g * g
                     value -= (0.05 * (means[0][j] / (1 - 0.9**step)) / (np.sqrt(means[1][j] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
-        names, scores = np.full(len(text), "und", object), np.zeros(len(text))
+    def _word_marginals(self, text: pa.Array):
+        """(first row, probabilities of the languages by word, row of each word) of each block of texts."""
         data, offsets = string_bytes(text)
         for a, b in blocks(offsets):
             low, start, end, number, row = _distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            if not len(row) or not self.languages:
-                continue
-            p = self.marginals(self.emissions(*_word_features(low, start, end), len(start))[number], row)
+            if len(row) and self.languages:
+                yield a, self.marginals(self.emissions(*_word_features(low, start, end), len(start))[number], row), row
+
+    def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
+        names, scores = np.full(len(text), "und", object), np.zeros(len(text))
+        for a, p, row in self._word_marginals(text):
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             mean = np.add.reduceat(p, first) / np.diff(np.r_[first, len(row)])[:, None]
             names[a + row[first]] = np.array(self.languages, object)[mean.argmax(1)]
             scores[a + row[first]] = np.minimum(mean.max(1), 1.0)
         return names.tolist(), scores
 
+    def label(self, text: pa.Array) -> pa.Array:
+        """The most probable language of each word of each text."""
+        sizes, labels = np.zeros(len(text), np.int64), [np.zeros(0, np.int64)]
+        for a, p, row in self._word_marginals(text):
+            sizes[a : a + row[-1] + 1] = np.bincount(row)
+            labels.append(p.argmax(1))
+        names = pa.array(self.languages, pa.string()).take(pa.array(np.concatenate(labels)))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), names)
+
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """A field learned from rows (doc_id, text, lang)."""
+    """A field learned from rows (doc_id, text, lang).
+
+    The sample is chosen by ids alone, train_docs of a language, so that it can be
+    broadcast to the documents and no other text is moved.
+    """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     rows = docs.where("doc_id is not null and text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= train_docs)
-    parts = F.split("text", "[ \t-\r]+")
-    at = F.when(F.size(parts) > SLICE, F.pmod(F.col("h"), F.size(parts) - SLICE)).otherwise(0).cast("int") + 1
-    sample = rows.select("lang", "h", F.array_join(F.slice(parts, at, SLICE), " ").alias("text")).toPandas().sort_values(["lang", "h"])
+    chosen = rows.select("lang", "h", "doc_id").distinct().withColumn("rank", rank).where(F.col("rank") <= train_docs).drop("rank", "h")
+    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"])
     languages = sorted(sample["lang"].unique())
     field = Field(languages)
     if languages:
@@ -213,3 +228,9 @@ def predict(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     letter = F.coalesce(F.col(f"doc.`{text}`").rlike(r"\p{L}"), F.lit(False))
     kept = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return rows.select(*kept, F.when(letter, F.col("language.lang_pred")).otherwise("und").alias("lang_pred"), F.when(letter, F.col("language.score")).otherwise(0.0).alias("score"))
+
+
+def word_languages(docs: DataFrame, field: Field, text: str = "text", to: str = "word_langs") -> DataFrame:
+    """docs with the language of each word (run of letters) of each text, array<string>: where a text switches, so do they."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    return replaced(docs, {to: F.arrow_udf(lambda texts: shared.value.label(texts), "array<string>")(F.coalesce(F.col(f"`{text}`"), F.lit("")))})

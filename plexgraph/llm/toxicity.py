@@ -1,11 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models with absolute discounting are counted, one over toxic and one
-over ordinary documents. Both back off from bigrams to the continuation counts of
-their own class, and from these to the continuation counts of both classes
-together, so that an expression rare in both says nothing. A text is judged by
-the length-normalised log-likelihood ratio of the toxic to the ordinary model,
-over the whole text and over its most toxic window of WINDOW words. A logistic
+Two bigram models are smoothed level by level with one absolute discount D =
+DISCOUNT, one model for toxic and one for ordinary documents. With c_k and c the
+counts of a pair in the class and in both classes, N_k and N the numbers of distinct
+contexts of a word in the class and in both, and left(...) what the discount takes
+from a level, which is min(count, D) summed:
+
+  p(w | v)   = (max(c_k(v, w) - D, 0) + left * both(w | v)) / c_k(v)
+  both(w | v) = (max(c(v, w) - D, 0) + left * p1(w)) / c(v)      counts shared by the classes
+  p1(w)      = (max(N_k(w) - D, 0) + left * p0(w)) / sum of N_k
+  p0(w)      = (N(w) + 1) / (sum of N + words + 1)               counts shared by the classes
+
+So an expression of at most D occurrences backs off to counts that both models
+share, and tells nothing by itself; a passage copied many times is as likely under
+both. One unseen word is part of the vocabulary, and each level adds up to 1. A text
+is judged by the difference of the two log-likelihoods, divided by the length: that
+of the whole text, and that of its most toxic passage of WINDOW words. A logistic
 function of the two, fitted on labelled texts that weren't counted, is the score.
 
 The models are fitted on a bounded sample: of either class the TRAIN_DOCS / 2
@@ -13,7 +23,8 @@ labelled documents least by the hash of their id; each third one calibrates. Sco
 covers every whole text.
 
 Cases: a null or empty text, or one without words, has the ratio 0. Documents of
-null id or null label aren't learned from but scored. If a class has no
+null id or null label aren't learned from but scored; a doc_id with both labels, or
+on several documents, is learned from as often as it occurs. If a class has no
 labelled document, every score is the share of toxic documents in the sample
 (0 without any).
 """
@@ -29,9 +40,8 @@ from plexgraph.llm.runtime import replaced, stored
 from plexgraph.llm.textvec import LOWER, PLAIN_CHAR, blocks, mix64, span_hashes, string_bytes, words
 
 TRAIN_DOCS = 6000
-WINDOW = 2
-DISCOUNT = 0.9
-RARE = 4
+DISCOUNT = 20
+WINDOW = 3
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
@@ -60,62 +70,82 @@ def _pair_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(before.view(np.int64)), pa.array(word.view(np.int64))], ["toxic", "before", "word"])
 
 
+def _places(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key, or len(sorted_keys)."""
+    if not len(sorted_keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == wanted, at, len(sorted_keys))
+
+
+class Level:
+    """Bigrams of one class or of both, absolutely discounted: what a context keeps for its pairs and what it leaves to the backoff."""
+
+    def __init__(self, v: np.ndarray, count: np.ndarray, contexts: int):
+        """v, count: context and count of each distinct pair."""
+        total = np.bincount(v, count, contexts)
+        self.total = np.maximum(total, 1)
+        self.back = np.where(total > 0, np.bincount(v, np.minimum(count, DISCOUNT), contexts) / self.total, 1.0)
+
+    def probability(self, v: np.ndarray, count: np.ndarray, backoff: np.ndarray) -> np.ndarray:
+        return np.maximum(count - DISCOUNT, 0) / self.total[v] + self.back[v] * backoff
+
+
+def continuation(contexts_of: np.ndarray, backoff: np.ndarray) -> np.ndarray:
+    """Probabilities of words by the number of contexts that they follow, discounted."""
+    n = contexts_of.sum()
+    return np.maximum(contexts_of - DISCOUNT, 0) / n + np.minimum(contexts_of, DISCOUNT).sum() / n * backoff if n else backoff
+
+
 class Model:
-    """Log-likelihood ratios of seen pairs, and of words and contexts for the others, as sorted tables of hashes."""
+    """Log-likelihood ratios of the pairs seen, and of words and contexts for the others, as sorted tables of hashes."""
 
     def __init__(self, toxic: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray):
-        all_words, w = np.unique(word, return_inverse=True)
-        contexts, v = np.unique(before, return_inverse=True)
-        classes = sum((np.bincount(w[toxic == label], minlength=len(all_words)) > 0).astype(np.int64) for label in (0, 1))
-        shared = classes / (classes.sum() + 1)  # the continuation count of a word over the classes: 1 or 2
-        pairs, p = np.unique(mix64(before * np.uint64(3) + word), return_inverse=True)
-        pair_word, pair_context = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-        pair_word[p], pair_context[p] = w, v
-        word_ratio, pair_logs = np.zeros(len(all_words)), []
-        for label, sign in ((1, 1), (0, -1)):
+        self.words, w = np.unique(word, return_inverse=True)
+        self.contexts, v = np.unique(before, return_inverse=True)
+        self.pairs, first, p = np.unique(mix64(before * np.uint64(3) + word), return_index=True, return_inverse=True)
+        self.pair_word, self.pair_context = w[first], v[first]
+        entries = len(self.words) + 1  # the last for a word not seen
+        uniform = np.bincount(self.pair_word, minlength=entries) + 1.0
+        shared_words = uniform / uniform.sum()
+        counts = np.bincount(p, count, len(self.pairs))
+        shared = Level(self.pair_context, counts, len(self.contexts))
+        self.p1, self.p2, self.back = [], [], []
+        for label in (1, 0):
             own = toxic == label
-            types = np.bincount(w[own], minlength=len(all_words))
-            n = max(1, types.sum())
-            rest = DISCOUNT * np.count_nonzero(types) / n
-            uni = np.maximum(types - DISCOUNT, 0) / n + rest * shared
-            word_ratio += sign * np.log(uni / rest)
-            total = np.bincount(v[own], count[own], len(contexts))
-            kinds = np.bincount(v[own], minlength=len(contexts))
-            left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            seen = np.zeros(len(pairs))
-            seen[p[own]] = np.maximum(count[own] - DISCOUNT, 0) / total[v[own]]
-            pair_logs.append(np.log((seen + left[pair_context] * uni[pair_word]) / left[pair_context] / rest))
-        # an expression of fewer than RARE occurrences is left to what it backs off to; an unseen word has the ratio 0
-        often = np.bincount(p, count, len(pairs)) >= RARE
-        self.pairs, self.pair_ratio = pairs[often], (pair_logs[0] - pair_logs[1])[often].astype(np.float32)
-        often = np.bincount(w, count, len(all_words)) >= RARE
-        self.words, self.word_ratio = all_words[often], np.r_[word_ratio[often], 0].astype(np.float32)
+            p1 = continuation(np.bincount(w[own], minlength=entries), shared_words)
+            level = Level(v[own], count[own], len(self.contexts))
+            p2 = shared.probability(self.pair_context, counts, p1[self.pair_word])
+            self.p2.append(level.probability(self.pair_context, np.bincount(p[own], count[own], len(self.pairs)), p2))
+            self.p1.append(p1)
+            self.back.append(level.back * shared.back)  # times p1: the probability of a pair not seen
+        ratio = lambda pair: (np.log(pair[0]) - np.log(pair[1])).astype(np.float32)
+        self.pair_ratio, self.word_ratio, self.context_ratio = ratio(self.p2), ratio(self.p1), np.r_[ratio(self.back), np.float32(0)]
         self.weights = np.zeros(3)
 
-    def _found(self, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, len(keys))
+    def __getstate__(self) -> dict:
+        """What scoring needs, so that broadcasts stay small."""
+        return {k: getattr(self, k) for k in ("pairs", "words", "contexts", "pair_ratio", "word_ratio", "context_ratio", "weights")}
 
     def features(self, text: pa.Array) -> np.ndarray:
-        """(mean ratio, mean ratio of the window where it is highest) of each text."""
+        """(ratio of the log-likelihoods by word, the same of the most toxic passage) of each text."""
         data, offsets = string_bytes(text)
         out = np.zeros((len(text), 2))
         for a, b in blocks(offsets):
             word, before, pair, row = _codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if not len(word):
                 continue
-            ratio = np.r_[self.pair_ratio, np.float32(0)][at := self._found(self.pairs, pair)]
-            new = at == len(self.pairs)
-            ratio[new] = self.word_ratio[self._found(self.words, word[new])]
+            at = _places(self.pairs, pair)
+            ratio = np.r_[self.pair_ratio, np.float32(0)][at]
+            new = np.flatnonzero(at == len(self.pairs))
+            ratio[new] = self.word_ratio[_places(self.words, word[new])] + self.context_ratio[_places(self.contexts, before[new])]
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             size = np.diff(np.r_[first, len(row)])
-            total = np.r_[0.0, np.cumsum(ratio, dtype=np.float64)]
+            total = np.add.reduceat(ratio.astype(np.float64), first)
+            sums = np.r_[0.0, np.cumsum(ratio, dtype=np.float64)]
             end = np.minimum(np.arange(len(row)) + WINDOW, np.repeat(first + size, size))
-            window = (total[end] - total[:-1]) / WINDOW
-            out[a + row[first], 0] = (total[first + size] - total[first]) / size
-            out[a + row[first], 1] = np.maximum.reduceat(window, first)
+            passage = np.maximum.reduceat((sums[end] - sums[:-1]) / WINDOW, first)
+            out[a + row[first]] = np.stack([total / size, passage], 1)
         return out
 
     def calibrate(self, features: np.ndarray, toxic: np.ndarray) -> None:
