@@ -1,8 +1,9 @@
 """Quality rules: a table of thresholds compiled into one projection, without user functions.
 
 Measures are Spark expressions over the words (runs other than 0x20 and
-0x09-0x0D) and lines of a text. RULES is the table of thresholds; a text is kept
-if it passes the base rule and every row of the table.
+0x09-0x0D) and lines of a text. Stop words are counted in lower case and without
+the punctuation around them. RULES is the table of thresholds; a text is kept if it
+passes the base rule and every row of the table.
 
 Cases: a null or empty text has no words and fails the base rule. Lines without a
 word don't count as lines. A rule with a ratio over 0 is passed.
@@ -23,13 +24,17 @@ STOP_WORDS = (
     "le la les de et à un une des en du est que pour qui dans ce il au sur se pas plus par avec "
     "el los las y del se un por con no una su para es al lo como más o pero sus"
 ).split()
+PUNCTUATION = ".,;:!?()[]\"'"
+SHORT_LINE = 20
 #: (measure, least, most, words that a text has at least for the rule to apply); None: no bound.
 RULES = (
     ("mean_word_length", 1.5, 25.0, 0),
-    ("symbol_ratio", None, 0.3, 0),
+    ("symbol_ratio", None, 0.1, 0),
+    ("stop_word_ratio", 0.06, None, 20),
     ("dup_line_ratio", None, 0.5, 0),
-    ("repeat_ratio", None, 0.2, 0),
-    ("stop_words", 1, None, 50),
+    ("bullet_line_ratio", None, 0.9, 0),
+    ("ellipsis_line_ratio", None, 0.3, 0),
+    ("short_line_ratio", None, 0.8, 20),
 )
 
 
@@ -39,10 +44,12 @@ def _ratio(a: str, b: str) -> Column:
 
 MEASURES = {
     "mean_word_length": lambda: _ratio("word_chars", "n_words"),
-    "symbol_ratio": lambda: _ratio("n_symbols", "n_words"),
+    "symbol_ratio": lambda: _ratio("n_symbols", "word_chars"),
+    "stop_word_ratio": lambda: _ratio("n_stop_words", "n_words"),
     "dup_line_ratio": lambda: _ratio("n_dup_lines", "n_lines"),
-    "repeat_ratio": lambda: _ratio("n_repeat_words", "n_words"),
-    "stop_words": lambda: F.col("n_stop_words"),
+    "bullet_line_ratio": lambda: _ratio("n_bullets", "n_lines"),
+    "ellipsis_line_ratio": lambda: _ratio("n_ellipses", "n_lines"),
+    "short_line_ratio": lambda: _ratio("n_short_lines", "n_lines"),
 }
 
 
@@ -75,6 +82,7 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     rows = rows.withColumn("starts", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covers = F.transform("starts", lambda s, j: F.least(F.lit(RUN), F.coalesce(F.get("starts", j + 1) - s, F.lit(RUN))))
     repeats = F.coalesce(F.aggregate(covers, F.lit(0), lambda a, b: a + b), F.lit(0))
+    counted = lambda test: F.size(F.filter("lines", test))
     measured = rows.select(
         "doc",
         F.size("words").cast("long").alias("n_words"),
@@ -83,7 +91,10 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"),
-        F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in STOP_WORDS]))).alias("n_stop_words"),
+        F.size(F.filter("words", lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)).isin(*dict.fromkeys(STOP_WORDS)))).alias("n_stop_words"),
+        counted(lambda line: F.ltrim(line, F.lit(SPACES)).substr(1, 1).isin("-", "*", "•")).alias("n_bullets"),
+        counted(lambda line: F.rtrim(line, F.lit(SPACES)).endswith("...") | F.rtrim(line, F.lit(SPACES)).endswith("…")).alias("n_ellipses"),
+        counted(lambda line: F.length(line) < SHORT_LINE).alias("n_short_lines"),
     )
     measured = measured.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -85,6 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_bpe, op3_toxicity, op4_language_id, op5_mixing, op6_media, op7_url_filter, op8_suffix_dedup, op9_quality, op10_pseudo_likelihood, pipeline)}
 
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_PUNCTUATION = "'" + quality.PUNCTUATION.replace("'", "''") + "'"
 _CANONICAL = """case when host <> '' then regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') end"""
 
 ORACLE_SQL = {
@@ -125,14 +127,15 @@ windows as (
   select doc_id, i, array_to_string(words[i : i + {quality.RUN - 1}], ' ') as run from (select doc_id, words, unnest(range(1, len(words) - {quality.RUN} + 2)) as i from split_words)),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, run) as n from windows) where n > 1),
 covered as (select doc_id, count(distinct i + j) as n from twice, (select unnest(range({quality.RUN})) as j) group by doc_id),
-lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as dup from (select doc_id, unnest(string_split(body, chr(10))) as line from split_words) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
+lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as dup, count(*) filter (where left(ltrim(line, {_SPACES}), 1) in ('-', '*', '•')) as bullets,
+    count(*) filter (where rtrim(line, {_SPACES}) like '%...' or rtrim(line, {_SPACES}) like '%…') as ellipses, count(*) filter (where length(line) < {quality.SHORT_LINE}) as short from (select doc_id, unnest(string_split(body, chr(10))) as line from split_words) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
 measured as (
   select s.doc_id, len(words) as n_words, length(regexp_replace(body, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
-    length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup, 0) as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n, 0) as n_repeat_words,
-    len(list_distinct(list_filter(words, lambda w: list_contains([{", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))}], w)))) as n_stop
+    length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup, 0) as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n, 0) as n_repeat_words, coalesce(bullets, 0) as bullets, coalesce(ellipses, 0) as ellipses, coalesce(short, 0) as short,
+    len(list_filter(words, lambda w: list_contains([{", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))}], trim(lower(w), {_PUNCTUATION})))) as n_stop
   from split_words s left join covered c on s.doc_id = c.doc_id left join lines l on s.doc_id = l.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and word_chars / n_words between 1.5 and 25 and n_symbols / n_words <= 0.3
-    and (n_lines = 0 or n_dup_lines / n_lines <= 0.5) and n_repeat_words / n_words <= 0.2 and (n_stop >= 1 or n_words < 50) as kept
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and word_chars / n_words between 1.5 and 25 and n_symbols / word_chars <= 0.1 and (n_stop / n_words >= 0.06 or n_words < 20)
+    and (n_lines = 0 or (n_dup_lines / n_lines <= 0.5 and bullets / n_lines <= 0.9 and ellipses / n_lines <= 0.3 and (short / n_lines <= 0.8 or n_words < 20))) as kept
 from measured""",
 }
