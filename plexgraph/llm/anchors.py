@@ -13,6 +13,8 @@ import numpy as np
 from plexgraph.llm.textvec import _BYTE_CODES, mix64, span_hashes
 
 GRAM = 32
+#: Windows of a part of a long text.
+PART = 1 << 20
 
 
 def gram_codes(data: np.ndarray) -> np.ndarray:
@@ -29,12 +31,15 @@ def gram_codes(data: np.ndarray) -> np.ndarray:
 def segments(data: np.ndarray, span: int):
     """Segments of one text: (first window, last window, anchor hash, segment hash). Needs len(data) >= span.
 
-    The hash of a segment covers all its bytes and where the anchor lies in it.
+    Long texts are taken in parts of PART windows, at whose ends a segment may be cut in two. The hash of a segment covers all its bytes and where the anchor lies in it.
     """
+    if len(data) >= PART + span:
+        parts = [(a, segments(data[a : a + PART + span - 1], span)) for a in range(0, len(data) - span + 1, PART)]
+        return tuple(np.concatenate([p[k] + a if k < 2 else p[k] for a, p in parts]) for k in range(4))
     codes = gram_codes(data)
     n, width = len(data) - span + 1, span - GRAM + 1
     # the least (hash, position): positions in the low bits make the leftmost win
-    bits = np.uint64(max(1, int(len(codes)).bit_length()))
+    bits = np.uint64(21)
     low = (codes >> bits << bits) | np.arange(len(codes), dtype=np.uint64)
     reach = 1
     while reach * 2 <= width:

@@ -6,11 +6,14 @@ longest common prefixes of all suffixes known so far are read from two files in
 sequence, the new suffixes find their places by the LF mapping, and the grown
 arrays are written in sequence to the files of the next round. Each string ends
 with a sentinel of its own, so that no prefix reaches over the end of a string.
+The caller bounds a collection, and with it the files and what is held of them.
+
+Cases: an empty collection, and strings shorter than a window, have no windows.
+Equal strings are separate members.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
@@ -25,55 +28,78 @@ def _last_first(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def build(columns: np.ndarray, lengths: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+class Files:
+    """Two pairs of open files for the transform and the common prefixes: one pair is read while the other is written."""
+
+    def __enter__(self) -> Files:
+        self.files = [[tempfile.TemporaryFile(buffering=0) for _ in range(2)] for _ in range(2)]
+        return self
+
+    def __exit__(self, *_) -> None:
+        for pair in self.files:
+            for file in pair:
+                file.close()
+
+    def write(self, k: int, *arrays: np.ndarray) -> None:
+        for file, array in zip(self.files[k], arrays):
+            file.seek(0)
+            left = memoryview(np.ascontiguousarray(array)).cast("B")
+            file.truncate(len(left))
+            while len(left):
+                left = left[file.write(left) :]
+
+    def read(self, k: int, *types) -> list[np.ndarray]:
+        out = []
+        for file, kind in zip(self.files[k], types):
+            file.seek(0)
+            out.append(np.frombuffer(file.readall(), kind))
+        return out
+
+
+def build(columns: np.ndarray, lengths: np.ndarray, files: Files) -> tuple[np.ndarray, np.ndarray]:
     """(transform, common prefixes) of a collection, both in suffix order; the sentinels come first.
 
     columns[j, i] is the j-th symbol from the end of string i, over 0, and 0
     where the string has no more; the last row is 0 throughout.
     """
     count, longest = columns.shape[1], columns.shape[0] - 1
-    with tempfile.TemporaryDirectory(dir=folder) as own:
-        files = [(os.path.join(own, f"bwt{k}"), os.path.join(own, f"lcp{k}")) for k in (0, 1)]
-        columns[0].tofile(files[0][0])
-        np.zeros(count, np.uint16).tofile(files[0][1])
-        active = np.flatnonzero(lengths > 0)
-        place = active.copy()
-        for length in range(1, longest + 1):
-            transform = np.fromfile(files[(length - 1) % 2][0], columns.dtype)
-            common = np.fromfile(files[(length - 1) % 2][1], np.uint16)
-            n = len(transform)
-            order, rank = _last_first(transform)
-            symbol, at = transform[place], rank[place]
-            starts = n - int(np.count_nonzero(transform))
-            target = at - starts + count
-            # the neighbours in the new order: the suffixes before and after with the same first symbol
-            left = order[np.maximum(at - 1, 0)]
-            right = order[np.minimum(at + 1, n - 1)]
-            has_left = (at > 0) & (transform[left] == symbol)
-            has_right = (at + 1 < n) & (transform[right] == symbol)
-            prefix = np.zeros(len(place), np.uint16)
-            prefix[has_left] = _least(common, left[has_left] + 1, place[has_left] + 1) + 1
-            follows = _least(common, place[has_right] + 1, right[has_right] + 1) + 1
-            turn = np.argsort(target)
-            active, target, prefix = active[turn], target[turn], prefix[turn]
-            grown = n + len(active)
-            fresh = np.zeros(grown, bool)
-            fresh[target] = True
-            old = ~fresh
-            new_common = np.empty(grown, np.uint16)
-            new_common[old] = common
-            new_common[target] = prefix
-            after = (at[has_right] + 1) - starts + count
-            new_common[after] = follows
-            new_transform = np.empty(grown, columns.dtype)
-            new_transform[old] = transform
-            new_transform[target] = columns[length][active]
-            new_transform.tofile(files[length % 2][0])
-            new_common.tofile(files[length % 2][1])
-            going = lengths[active] > length
-            active, place = active[going], target[going]
-        last = files[longest % 2]
-        return np.fromfile(last[0], columns.dtype), np.fromfile(last[1], np.uint16)
+    kinds = (columns.dtype, np.dtype(np.uint16))
+    files.write(0, columns[0], np.zeros(count, np.uint16))
+    active = np.flatnonzero(lengths > 0)
+    place = active.copy()
+    for length in range(1, longest + 1):
+        transform, common = files.read((length - 1) % 2, *kinds)
+        n = len(transform)
+        order, rank = _last_first(transform)
+        symbol, at = transform[place], rank[place]
+        starts = n - int(np.count_nonzero(transform))
+        target = at - starts + count
+        # the neighbours in the new order: the suffixes before and after with the same first symbol
+        left = order[np.maximum(at - 1, 0)]
+        right = order[np.minimum(at + 1, n - 1)]
+        has_left = (at > 0) & (transform[left] == symbol)
+        has_right = (at + 1 < n) & (transform[right] == symbol)
+        prefix = np.zeros(len(place), np.uint16)
+        prefix[has_left] = _least(common, left[has_left] + 1, place[has_left] + 1) + 1
+        follows = _least(common, place[has_right] + 1, right[has_right] + 1) + 1
+        turn = np.argsort(target)
+        active, target, prefix = active[turn], target[turn], prefix[turn]
+        grown = n + len(active)
+        fresh = np.zeros(grown, bool)
+        fresh[target] = True
+        old = ~fresh
+        new_common = np.empty(grown, np.uint16)
+        new_common[old] = common
+        new_common[target] = prefix
+        after = (at[has_right] + 1) - starts + count
+        new_common[after] = follows
+        new_transform = np.empty(grown, columns.dtype)
+        new_transform[old] = transform
+        new_transform[target] = columns[length][active]
+        files.write(length % 2, new_transform, new_common)
+        going = lengths[active] > length
+        active, place = active[going], target[going]
+    return tuple(files.read(longest % 2, *kinds))
 
 
 def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -99,7 +125,7 @@ def _block_symbols(data: np.ndarray, block: int) -> np.ndarray:
     return (symbols + 1).astype(np.uint16 if len(values) < 65535 else np.uint32)
 
 
-def repeated_windows(strings: list[bytes], span: int, folder: str | None = None) -> list[np.ndarray]:
+def repeated_windows(strings: list[bytes], span: int, files: Files) -> list[np.ndarray]:
     """For each string, the starts of its windows of `span` bytes that also start elsewhere in the collection.
 
     The symbols are blocks of bytes (25 for a span of 200), so that a string
@@ -120,7 +146,7 @@ def repeated_windows(strings: list[bytes], span: int, folder: str | None = None)
     for j in range(len(columns) - 1):
         has = lengths > j
         columns[j, has] = symbols[offsets[who[has]] + phase[has] + block * (lengths[has] - 1 - j)]
-    transform, common = build(columns, lengths, folder)
+    transform, common = build(columns, lengths, files)
     _, rank = _last_first(transform)
     starts = len(transform) - int(np.count_nonzero(transform))
     twice = common >= span // block

@@ -5,12 +5,16 @@ the same or another document, is found, by suffix order:
 
 1. Each window of `span` bytes belongs to a content-defined anchor (anchors.py);
    equal windows have equal anchors. Counts of (anchor, segment) show which
-   segments are copies as a whole and which anchors have several segments.
+   segments are copies as a whole and which anchors have several segments. Whole
+   copies are decided by 64-bit hashes; equal strings go on as one.
 2. The distinct segments of such an anchor meet in one task, and column-wise
    construction of their Burrows-Wheeler transform and common prefixes
    (bwt_collection.py) shows which of their windows occur twice.
-3. An anchor with more than `hot` distinct segments isn't gathered. Its windows
-   are counted by their 128-bit hashes, which Spark sums before it shuffles.
+3. Where an anchor has more than `hot` distinct segments, they are dealt anew, and
+   again until no group is larger: each is cut in two by where the anchor lies in
+   its windows, and the longer string that all windows of a part have in common is
+   the part's key. Equal windows stay in one group; after eight turns a group would
+   be one window. So no task gathers more than `hot` segments, and none is left out.
 
 Cases: null and empty texts, and texts shorter than `span`, lose nothing.
 Equal texts of at least `span` bytes lose everything. Repeated rows count as
@@ -24,37 +28,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexgraph.llm.anchors import segments
-from plexgraph.llm.bwt_collection import repeated_windows
-from plexgraph.llm.runtime import discard, replaced, stored, text_keys
-from plexgraph.llm.textvec import span_hashes, string_bytes
+from plexgraph.llm.anchors import gram_codes, segments
+from plexgraph.llm.bwt_collection import Files, repeated_windows
+from plexgraph.llm.runtime import discard, stored, text_keys
+from plexgraph.llm.textvec import mix64, span_hashes, string_bytes
 
 SPAN = 200
-#: Distinct segments of an anchor that may meet in one task.
+#: Distinct segments of an anchor, or of parts with one key, that may meet in one task.
 HOT = 4096
 #: Bytes of segments in one collection; more only where one anchor has more.
 COLLECTION_BYTES = 48_000
 
 
-def _segment_rows(span: int):
-    names = ["k1", "k2", "anchor", "seg", "first", "last"]
+def _distinct_texts(batch: pa.RecordBatch, span: int, known: set | None = None):
+    """(bytes, row, copies in the batch) of each distinct text of at least span bytes that isn't known yet; with known, it becomes so."""
+    raw, at = string_bytes(batch.column("text"))
+    keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
+    copies, first = {}, {}
+    for i in np.flatnonzero(np.diff(at) >= span).tolist():
+        copies[keys[i]] = copies.get(keys[i], 0) + 1
+        first.setdefault(keys[i], i)
+    for key, i in first.items():
+        if known is None or key not in known:
+            yield raw[at[i] : at[i + 1]], i, copies[key]
+            if known is not None:
+                known.add(key)
+
+
+def _batches(rows, names: list[str]):
+    """Lists of columns to record batches of about 20,000 rows."""
+    held, size = [], 0
+    for columns in rows:
+        held.append(columns)
+        size += len(columns[0])
+        if size > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
+
+def _counted_segments(span: int):
+    """Segments of all texts; n: the copies of the text, summed within a batch so that copies of one text don't pile up."""
+
+    def columns(batches):
+        for batch in batches:
+            for data, _, copies in _distinct_texts(batch, span):
+                _, _, anchor, seg = segments(data, span)
+                yield anchor.view(np.int64), seg.view(np.int64), np.full(len(seg), copies, np.int64)
 
-    def rows(batches):
+    return lambda batches: _batches(columns(batches), ["anchor", "seg", "n"])
+
+
+def _placed_segments(span: int):
+    """Segments with their places in a text, once for equal texts of a task."""
+
+    def columns(batches):
+        known = set()
         for batch in batches:
-            raw, at = string_bytes(batch.column("text"))
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            out, size = [], 0
-            for i in np.flatnonzero(np.diff(at) >= span):
-                first, last, anchor, seg = segments(raw[at[i] : at[i + 1]], span)
-                out.append((np.full(len(first), k1[i]), np.full(len(first), k2[i]), anchor.view(np.int64), seg.view(np.int64), first.astype(np.int32), last.astype(np.int32)))
-                size += len(first)
-                if size > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+            for data, i, _ in _distinct_texts(batch, span, known):
+                first, last, anchor, seg = segments(data, span)
+                yield np.full(len(first), k1[i]), np.full(len(first), k2[i]), anchor.view(np.int64), seg.view(np.int64), first.astype(np.int32), last.astype(np.int32)
 
-    return rows
+    return lambda batches: _batches(columns(batches), ["k1", "k2", "anchor", "seg", "first", "last"])
 
 
 def _cut_pieces(span: int):
@@ -86,85 +123,120 @@ def _runs(starts: np.ndarray, span: int) -> tuple[list[int], list[int]]:
 def _collections(span: int):
     schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))])
 
-    def solve(held):
+    def solve(held, files):
         out = []
-        for (anchor, seg, copies, _), starts in zip(held, repeated_windows([h[3] for h in held], span)):
+        for (_, anchor, seg, at, copies, _), starts in zip(held, repeated_windows([h[5] for h in held], span, files)):
             if copies == 1 and len(starts):
-                out.append((anchor, seg, *_runs(starts, span)))
+                out.append((anchor, seg, *_runs(starts + at, span)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema) if out else None
 
     def rows(batches):
         held, size = [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "seg", "copies", "piece"))):
-                if size > COLLECTION_BYTES and row[0] != held[-1][0]:
-                    if (done := solve(held)) is not None:
-                        yield done
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held and (done := solve(held)) is not None:
-            yield done
+        with Files() as files:
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in ("key", "anchor", "seg", "at", "copies", "piece"))):
+                    if size > COLLECTION_BYTES and row[0] != held[-1][0]:
+                        if (done := solve(held, files)) is not None:
+                            yield done
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[5])
+            if held and (done := solve(held, files)) is not None:
+                yield done
 
     return rows
 
 
-def _window_hashes(span: int):
-    names = ["anchor", "seg", "copies", "start", "h1", "h2"]
+def _halves(span: int, level: int):
+    """Parts of the pieces of crowded groups: the windows whose anchor lies in one half of the places of this level."""
+    names = ["key", "part", "anchor", "seg", "at", "copies", "piece"]
+    width = 128 >> level
 
     def rows(batches):
         for batch in batches:
-            for anchor, seg, copies, piece in zip(*(batch.column(c).to_pylist() for c in ("anchor", "seg", "copies", "piece"))):
+            out = []
+            for key, anchor, seg, at, copies, piece in zip(*(batch.column(c).to_pylist() for c in ("key", "anchor", "seg", "at", "copies", "piece"))):
                 data = np.frombuffer(piece, np.uint8)
-                start = np.arange(len(data) - span + 1)
-                h1, h2 = span_hashes(data, start, start + span), span_hashes(data[::-1], start, start + span)[::-1]
-                n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, anchor), np.full(n, seg), np.full(n, copies), start.astype(np.int32), h1.view(np.int64), np.ascontiguousarray(h2).view(np.int64))], names)
+                gram = int(np.argmin(gram_codes(data)))  # the anchor, which all windows share
+                side = (gram - np.arange(len(data) - span + 1)) // width
+                for a, b in zip(first := np.flatnonzero(np.r_[True, side[1:] != side[:-1]]), np.r_[first[1:], len(side)]):
+                    low = int(side[a]) * width  # places of the anchor: from low to low + width - 1
+                    shared = span_hashes(data, np.array([gram - low]), np.array([gram - low - width + 1 + span]))
+                    whole = span_hashes(data, np.array([a]), np.array([b - 1 + span]))
+                    new = mix64(shared + np.uint64(key & (1 << 63) - 1) + np.uint64(int(side[a]) + 1))
+                    part = mix64(whole + np.uint64(int(gram - a)))
+                    out.append((int(new.view(np.int64)[0]), int(part.view(np.int64)[0]), anchor, seg, at + int(a), copies, piece[a : b - 1 + span]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names)
 
     return rows
 
 
-def _wanted_segments(located: DataFrame) -> DataFrame:
+def _wanted_segments(keyed: DataFrame, span: int) -> DataFrame:
     """(anchor, seg, copies, kinds) of the segments of which windows may repeat."""
-    sums = located.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"))
+    counted = keyed.select("k1", "k2", "text").mapInArrow(_counted_segments(span), "anchor long, seg long, n long")
+    sums = counted.groupBy("anchor", "seg").agg(F.sum("n").alias("copies"))
     kinds = sums.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 or most > 1")
     return stored(sums.join(kinds.drop("most"), "anchor").where("copies > 1 or kinds > 1"), "segments")
 
 
-def _found(located: DataFrame, wanted: DataFrame) -> DataFrame:
+def _found(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """Where those segments lie, once for each text."""
-    return stored(located.join(wanted, ["anchor", "seg"]).distinct(), "places")
+    placed = keyed.select("k1", "k2", "text").mapInArrow(_placed_segments(span), "k1 long, k2 long, anchor long, seg long, first int, last int")
+    return stored(placed.join(wanted, ["anchor", "seg"]).distinct(), "places")
 
 
 def _pieces(keyed: DataFrame, found: DataFrame, span: int) -> DataFrame:
     """The bytes of one place of each segment whose anchor has others."""
     one = found.where("kinds > 1").groupBy("anchor", "seg", "copies", "kinds").agg(F.min(F.struct("k1", "k2", "first", "last")).alias("at"))
     lists = one.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("anchor", "seg", "copies", "kinds", "at.first", "at.last")).alias("wanted"))
-    # one row of each text: joined by its row's number too, copies of a text are spread over tasks
+    # one row of each text (several only if they are equal throughout): copies of a text aren't cut again
     chosen = keyed.groupBy("k1", "k2").agg(F.min("row").alias("row")).join(lists, ["k1", "k2"])
     cut = keyed.join(chosen, ["k1", "k2", "row"]).select("text", "wanted").mapInArrow(_cut_pieces(span), "anchor long, seg long, copies long, kinds long, piece binary")
-    return cut.dropDuplicates(["anchor", "seg"])
+    return cut.dropDuplicates(["anchor", "seg"]).select(F.col("anchor").alias("key"), "anchor", "seg", F.lit(0).alias("at"), "copies", "piece", "kinds")
 
 
-def _covered(pieces: DataFrame, span: int, hot: int) -> DataFrame:
+def _covered(pieces: DataFrame, crowded: bool, span: int, hot: int) -> DataFrame:
     """(anchor, seg, low, high): repeated runs in segments that are no copies as a whole."""
-    few = pieces.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor", "seg")
-    covered = few.mapInArrow(_collections(span), "anchor long, seg long, low array<int>, high array<int>")
-    windows = pieces.where(F.col("kinds") > hot).mapInArrow(_window_hashes(span), "anchor long, seg long, copies long, start int, h1 long, h2 long")
-    twice = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("places")).where("places > 1")
-    starts = windows.where("copies = 1").join(twice, ["h1", "h2"]).groupBy("anchor", "seg").agg(F.sort_array(F.collect_list("start")).alias("low"))
-    return covered.unionByName(starts.withColumn("high", F.transform("low", lambda x: x + span)))
+    covered, level = [], 0
+    in_order = lambda df: df.repartition("key").sortWithinPartitions("key", "anchor", "seg", "at")
+    solved = lambda df: in_order(df).mapInArrow(_collections(span), "anchor long, seg long, low array<int>, high array<int>")
+    while crowded:
+        pieces = stored(pieces, "pieces")
+        covered.append(stored(solved(pieces.where(F.col("kinds") <= hot)), "covered"))
+        parts = stored(pieces.where(F.col("kinds") > hot).mapInArrow(_halves(span, level), "key long, part long, anchor long, seg long, at int, copies long, piece binary"), "parts")
+        discard(pieces)
+        same = parts.groupBy("key", "part").agg(F.sum("copies").alias("total"), F.min(F.struct("anchor", "seg", "at")).alias("one"))
+        kinds = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
+        same = stored(same.join(kinds, "key").where("kinds > 1 or total > 1"), "same")
+        joined = parts.join(same, ["key", "part"])
+        copied = joined.where("total > 1 and copies = 1")  # a part that is a copy as a whole
+        covered.append(stored(copied.select("anchor", "seg", F.array("at").alias("low"), F.array(F.col("at") + F.length("piece")).alias("high")), "covered"))
+        pieces = joined.where((F.struct("anchor", "seg", "at") == F.col("one")) & (F.col("kinds") > 1)).select("key", "anchor", "seg", "at", F.col("total").alias("copies"), "piece", "kinds")
+        crowded = bool(same.where(F.col("kinds") > hot).limit(1).count())
+        level += 1
+    covered.append(solved(pieces))
+    rows = covered[0]
+    for more in covered[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("anchor", "seg").agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("high")).alias("high")) if level else rows
+
+
+def _row_hash(docs: DataFrame, text: str):
+    """A hash of the columns beside the text: the same on each reading, unlike a row's number."""
+    plain = [f.name for f in docs.schema.fields if f.name != text and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0).cast("long")
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, text: str = "text", hot: int = HOT) -> DataFrame:
     """(k1, k2, spans): for each text that has any, the spans of bytes to remove, unsorted; keys as runtime.text_keys."""
     column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = docs.select(*text_keys(column), column.alias("text")).withColumn("row", F.monotonically_increasing_id())
-    located = keyed.select("k1", "k2", "text").mapInArrow(_segment_rows(span), "k1 long, k2 long, anchor long, seg long, first int, last int")
-    wanted = _wanted_segments(located)
-    found = _found(located, wanted)
+    keyed = docs.select(*text_keys(column), column.alias("text"), _row_hash(docs, text).alias("row"))
+    wanted = _wanted_segments(keyed, span)
+    crowded = bool(wanted.where(F.col("kinds") > hot).limit(1).count())
+    found = _found(keyed, wanted, span)
     discard(wanted)
-    covered = stored(_covered(_pieces(keyed, found, span), span, hot), "covered")
+    covered = stored(_covered(_pieces(keyed, found, span), crowded, span, hot), "covered")
     parts = F.when(F.col("copies") > 1, F.array(F.struct(F.col("first").alias("low"), (F.col("last") + span).alias("high")))).otherwise(
         F.transform(F.arrays_zip("low", "high"), lambda x: F.struct((x["low"] + F.col("first")).alias("low"), (x["high"] + F.col("first")).alias("high")))
     )

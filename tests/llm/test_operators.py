@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from plexgraph.llm import bpe, langid, media, minhash_dedup, mixing, pseudo_likelihood, quality, suffix_dedup, toxicity, urls
-from plexgraph.llm.bwt_collection import repeated_windows
+from plexgraph.llm.bwt_collection import Files, repeated_windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,7 +36,9 @@ def test_windows_of_a_collection_against_counting():
         strings = [rng.integers(97, 99, rng.integers(1, 60)).astype(np.uint8).tobytes() for _ in range(12)]
         span = int(rng.integers(1, 9))
         counts = Counter(s[i : i + span] for s in strings for i in range(len(s) - span + 1))
-        for s, got in zip(strings, repeated_windows(strings, span)):
+        with Files() as files:
+            found = repeated_windows(strings, span, files)
+        for s, got in zip(strings, found):
             assert list(got) == [i for i in range(len(s) - span + 1) if counts[s[i : i + span]] > 1]
 
 
@@ -56,11 +58,13 @@ def removed(texts, span):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4096, 2, 1])
 def test_suffix_dedup_against_counting(spark, hot):
     base = sentences(12)
     passage = base[0] * 2
     texts = [*EDGES, *base, base[3], *(f"{s} {passage[:400]} {s[:30]}" for s in sentences(9, 5))]
+    # one anchor with many surroundings: copies of a passage that is shorter or longer than a window, cut at each end
+    texts += [f"{s[:60]}{passage[i % 7 : 190 + 5 * i]}{s[60:150]}" for i, s in enumerate(sentences(14, 6))]
     got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(docs_of(spark, texts), 200, hot=hot).collect()}
     assert [got[i] for i in range(len(texts))] == removed(texts, 200)
 
