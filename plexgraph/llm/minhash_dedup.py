@@ -1,10 +1,12 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 A document is the weighted set of its runs of five words: the weight of a run is
-how often it occurs times the logarithm of 1 + N / documents with it, where a run
-counts as being in a tenth of the documents at least (so only runs that are in
-more weigh less). Document frequencies are counted over all documents in a fixed
-table of 65,536 hashed entries.
+how often it occurs times the logarithm of 1 + N / documents with it. Document
+frequencies are exact for all runs in SHARE of the N documents or more, and every
+rarer run counts as being in that share. So the table of frequencies has at most
+(mean runs of a document) / SHARE entries, however large the corpus is. Such a run
+is in SHARE of the documents of some chunk at least, so that a first pass over chunks
+finds what can be one, and a second pass counts those everywhere.
 
 Improved consistent weighted sampling (Ioffe, 2010) draws BANDS x ROWS samples of
 each set; two sets agree in a sample with the probability of their weighted
@@ -42,9 +44,12 @@ from plexgraph.llm.textvec import blocks, gram_hashes, mix64, span_hashes, strin
 RUN = 5
 BANDS, ROWS = 14, 3
 THRESHOLD = 0.8
+#: Runs in this share of the documents or more have their own document frequency.
+SHARE = 0.001
+#: Runs of a chunk of documents that are counted at once, and candidates that are broadcast; more of them are joined.
+CHUNK, BROADCAST = 1 << 22, 1 << 20
+#: Entries of the table that orders the runs of crowded texts from rare to common.
 TABLE = 1 << 16
-#: A run counts as being in this share of the documents at least.
-COMMON = 0.1
 PAIRED = 32
 LEADERS = 5
 #: Texts of a crowded prefix run that are dealt to one task to be paired with as many others.
@@ -65,7 +70,22 @@ def _draws() -> dict[str, np.ndarray]:
     return _TABLES
 
 
-def weighted_runs(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray | None):
+class Weights:
+    """The weight of runs: a table of the common ones, sorted, and one weight for the rest."""
+
+    def __init__(self, runs: np.ndarray, frequencies: np.ndarray, documents: float, share: float = SHARE):
+        order = np.argsort(runs)
+        self.runs, self.logs = runs[order], np.log(1 + documents / frequencies[order])
+        self.rest = float(np.log(1 + 1 / share))
+
+    def of(self, run: np.ndarray) -> np.ndarray:
+        if not len(self.runs):
+            return np.full(len(run), self.rest)
+        at = np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)
+        return np.where(self.runs[at] == run, self.logs[at], self.rest)
+
+
+def weighted_runs(data: np.ndarray, offsets: np.ndarray, weights: Weights | None):
     """(run, row, weight) of the distinct runs of each row, sorted by row and run; weight is the count where weights is None."""
     start, end, row = words(data, offsets)
     runs, rows = gram_hashes(span_hashes(data, start, end), row, RUN)
@@ -74,37 +94,92 @@ def weighted_runs(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray | N
     count = np.diff(np.r_[first, len(key)])
     key = key[first]
     row, run = (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1)
-    return run, row, count if weights is None else count * weights[(run & np.uint64(TABLE - 1)).astype(np.int64)]
+    return run, row, count if weights is None else count * weights.of(run)
 
 
-def _frequencies(batches):
-    total, rows = np.zeros(TABLE, np.int64), 0
+def _chunks(batches):
+    """(runs and their document frequencies, number of documents) of chunks of about CHUNK runs."""
+    held, size, rows = [], 0, 0
+    for batch in batches:
+        data, offsets = string_bytes(batch.column(0))
+        for a, b in blocks(offsets):
+            held.append(weighted_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)[0])
+            size, rows = size + len(held[-1]), rows + b - a
+            if size >= CHUNK:
+                yield *np.unique(np.concatenate(held), return_counts=True), rows
+                held, size, rows = [], 0, 0
+    if rows:
+        yield *np.unique(np.concatenate(held), return_counts=True), rows
+
+
+def _reports(share: float):
+    """(run, n, slack): runs in a share of a chunk's documents at least; the slack is what a run that isn't reported can have. Run -1 has the documents and slack of a chunk."""
+
+    def rows(batches):
+        for run, n, documents in _chunks(batches):
+            least = max(1, int(share * documents))
+            often = n >= least
+            slack = np.full(int(often.sum()) + 1, least - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[run[often].astype(np.int64), -1]), pa.array(np.r_[n[often], documents]), pa.array(slack)], ["run", "n", "slack"])
+
+    return rows
+
+
+def _frequencies(candidates):
+    """(run, n) of the candidates, or of all runs."""
+
+    def rows(batches):
+        for run, n, _ in _chunks(batches):
+            if candidates is not None:
+                known = candidates.value
+                at = np.minimum(np.searchsorted(known, run), len(known) - 1)
+                run, n = run[known[at] == run], n[known[at] == run]
+            yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int64)), pa.array(n)], ["run", "n"])
+
+    return rows
+
+
+def run_weights(texts: DataFrame, share: float = SHARE) -> Weights:
+    """Weights from all rows of a one-column DataFrame."""
+    reports = stored(texts.mapInArrow(_reports(share), "run long, n long, slack long"), "reports")
+    documents, slack = reports.where("run = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("slack"), F.lit(0))).first()
+    least = share * documents
+    possible = reports.where("run >= 0").groupBy("run").agg(F.sum(F.col("n") - F.col("slack")).alias("over")).where(F.col("over") + slack >= least).select("run")
+    possible = stored(possible, "candidates")
+    discard(reports)
+    count = possible.count()
+    if not count:
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), 0, share)
+    if count <= BROADCAST:
+        known = np.sort(possible.toArrow().column("run").to_numpy()).view(np.uint64)
+        found = texts.mapInArrow(_frequencies(texts.sparkSession.sparkContext.broadcast(known)), "run long, n long")
+    else:
+        found = texts.mapInArrow(_frequencies(None), "run long, n long").join(possible, "run", "left_semi")
+    common = found.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # mean runs of a document / share rows at most
+    discard(possible)
+    return Weights(common.column("run").to_numpy().view(np.uint64), common.column("n").to_numpy(), documents, share)
+
+
+def _entries(batches):
+    total = np.zeros(TABLE, np.int64)
     for batch in batches:
         data, offsets = string_bytes(batch.column(0))
-        rows += batch.num_rows
         for a, b in blocks(offsets):
             run, _, _ = weighted_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)
             total += np.bincount((run & np.uint64(TABLE - 1)).astype(np.int64), minlength=TABLE)
     full = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[full, -1].astype(np.int32)), pa.array(np.r_[total[full], rows])], ["entry", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["entry", "n"])
 
 
 def _table_counts(texts: DataFrame) -> np.ndarray:
-    """Documents with a run of each entry of the table, and at the end all documents of a one-column DataFrame."""
-    counts = texts.mapInArrow(_frequencies, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).toPandas()  # TABLE + 1 rows at most
-    table = np.zeros(TABLE + 1)
-    table[counts["entry"].to_numpy()] = counts["n"].to_numpy()
+    """Documents with a run of each entry of the table, of a one-column DataFrame."""
+    counts = texts.mapInArrow(_entries, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()  # TABLE rows at most
+    table = np.zeros(TABLE)
+    table[counts.column("entry").to_numpy()] = counts.column("n").to_numpy()
     return table
 
 
-def run_weights(texts: DataFrame) -> np.ndarray:
-    """The weight of each entry of the table, from all rows of a one-column DataFrame."""
-    table = _table_counts(texts)
-    rows = max(table[-1], 1.0)
-    return np.log(1 + rows / np.maximum(table[:-1], COMMON * rows))
-
-
-def _prefixes(weights: np.ndarray, counts: np.ndarray, threshold: float):
+def _prefixes(weights: Weights, counts: np.ndarray, threshold: float):
     """The runs of each text from the rarest on, until they weigh more than 1 - threshold of it; its weight, and that of the runs of each entry of a sketch."""
 
     def prefix(text: pa.Array) -> pa.Array:
@@ -126,7 +201,7 @@ def _prefixes(weights: np.ndarray, counts: np.ndarray, threshold: float):
     return F.arrow_udf(prefix, "struct<runs: array<bigint>, weight: double, sketch: binary>")
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(data: np.ndarray, offsets: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have a word, their band hashes)."""
     run, row, weight = weighted_runs(data, offsets, weights)
     if not len(run):
@@ -153,7 +228,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tu
     return row[first], bands
 
 
-def _band_column(weights: np.ndarray):
+def _band_column(weights: Weights):
     def bands(text: pa.Array) -> pa.Array:
         data, offsets = string_bytes(text)
         full, values = np.zeros(len(text), bool), []
@@ -168,7 +243,7 @@ def _band_column(weights: np.ndarray):
     return F.arrow_udf(bands, "array<bigint>")
 
 
-def _similarity_column(weights: np.ndarray):
+def _similarity_column(weights: Weights):
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
         out, known, held = np.zeros(len(left)), {}, 0
         sides = [string_bytes(left), string_bytes(right)]
@@ -255,7 +330,7 @@ def _pairs_across(prefixes: DataFrame, sketches: DataFrame, labels: DataFrame, t
     return stored(found.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), "across")
 
 
-def _links(members: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> list[DataFrame]:
+def _links(members: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> list[DataFrame]:
     """Tables of links (a, b) among the members (key, node) of each bucket."""
     similarity = _similarity_column(weights)
     rows = _sized(members)
@@ -292,8 +367,11 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with class_id (least doc_id of its class), class_size and representative (true for one row of each class)."""
     column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    weights = run_weights(docs.select(column.alias("text")))
-    keyed = docs.select(*text_keys(column), column.alias("text"), F.col(f"`{doc_id}`").alias("id")).withColumn("row", F.monotonically_increasing_id())
+    # stored, so that a row keeps its number on each reading
+    numbered = stored(docs.select(F.struct("*").alias("doc"), *text_keys(column), F.monotonically_increasing_id().alias("row")), "numbered")
+    column = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
+    keyed = numbered.select("k1", "k2", "row", column.alias("text"), F.col(f"doc.`{doc_id}`").alias("id"))
+    weights = run_weights(keyed.select("text"))
     nodes = keyed.select("k1", "k2", "row", "id", _band_column(weights)("text").alias("bands"))
     nodes = nodes.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select(F.struct("k1", "k2").alias("node"), "least", "row", "n", "bands"), "nodes")
@@ -311,7 +389,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     classes = member.where("worded").groupBy("label").agg(F.min("least").alias("first"), F.sum("n").alias("size"))
     member = stored(member.join(classes, "label", "left").select("node.k1", "node.k2", "first", "size"), "classes")
     discard(nodes)
-    rows = docs.select(F.struct("*").alias("doc"), *text_keys(column)).withColumn("row", F.monotonically_increasing_id()).join(member, ["k1", "k2"], "left")
+    rows = numbered.join(member, ["k1", "k2"], "left")
     low = {"class_id", "class_size", "representative"}
     return rows.select(
         *[F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in low],
