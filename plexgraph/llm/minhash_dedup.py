@@ -17,10 +17,11 @@ rare to common, two texts of similarity t share one of the first runs that weigh
 more than 1 - t of either. Where more than PAIRED texts share such a run, all are
 compared with one of them as a leader, and those that aren't similar to it with
 a next, LEADERS in all; the second is the lightest, the most similar to those that
-have nothing rarer in common. Then all pairs of the run's texts that the links so
-far leave in different components are tried, in blocks: sums of weights in a small
-hashed sketch bound the similarity from above and rule most of them out, and the
-rest are compared. So each link that is left out is between texts of one class.
+have nothing rarer in common. Then all the run's texts that the links so far leave
+in different components are compared, in blocks that hold the runs of their texts:
+sums of weights in a small hashed sketch bound the similarity from above and rule
+most pairs out, the rest are compared run by run, and only links leave the task. So
+each link that is left out is between texts of one class.
 Pairs whose weighted Jaccard similarity is at least `threshold` are
 links; classes are the connected components.
 
@@ -52,10 +53,12 @@ CHUNK, BROADCAST = 1 << 22, 1 << 20
 TABLE = 1 << 16
 PAIRED = 32
 LEADERS = 5
-#: Texts of a crowded prefix run that are dealt to one task to be paired with as many others.
-BLOCK = 512
+#: Texts of a crowded prefix run, and runs of theirs, that are dealt to one task to be compared with as many others.
+BLOCK, BLOCK_RUNS = 2048, 1 << 21
 #: Entries of the sketch that rules out pairs of crowded prefix runs.
 SKETCH = 128
+#: What rounding may take from a similarity.
+SLACK = 1e-12
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -180,13 +183,16 @@ def _table_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(weights: Weights, counts: np.ndarray, threshold: float):
-    """The runs of each text from the rarest on, until they weigh more than 1 - threshold of it; its weight, and that of the runs of each entry of a sketch."""
+    """The runs of each text from the rarest on, until they weigh more than 1 - threshold of it; its weight, that of the runs of each entry of a sketch, and all runs with their counts."""
 
     def prefix(text: pa.Array) -> pa.Array:
         data, offsets = string_bytes(text)
-        out, sums, sketches = [], [], []
+        out, sums, sketches, every, number = [], [], [], [], []
         for i in range(len(text)):
-            run, _, weight = weighted_runs(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), weights)
+            run, _, count = weighted_runs(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), None)
+            weight = count * weights.of(run)
+            every.append(run.tobytes())
+            number.append(count.astype(np.int32).tobytes())
             order = np.lexsort((run, counts[(run & np.uint64(TABLE - 1)).astype(np.int64)]))
             total = np.cumsum(weight[order])
             first = int(np.searchsorted(total, (1 - threshold) * total[-1] * (1 + 1e-9), "right")) + 1 if len(total) else 0
@@ -196,9 +202,9 @@ def _prefixes(weights: Weights, counts: np.ndarray, threshold: float):
             sketch = np.bincount(((run >> np.uint64(20)) & np.uint64(SKETCH - 1)).astype(np.int64), weight, SKETCH) * 1.001
             with np.errstate(over="ignore"):
                 sketches.append(sketch.astype(np.float16).tobytes())
-        return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(sums), pa.array(sketches, pa.binary())], ["runs", "weight", "sketch"])
+        return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(sums), pa.array(sketches, pa.binary()), pa.array(every, pa.binary()), pa.array(number, pa.binary())], ["runs", "weight", "sketch", "every", "number"])
 
-    return F.arrow_udf(prefix, "struct<runs: array<bigint>, weight: double, sketch: binary>")
+    return F.arrow_udf(prefix, "struct<runs: array<bigint>, weight: double, sketch: binary, every: binary, number: binary>")
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +279,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity, threshold: float) ->
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     with_texts = pairs.select("a", "b").distinct().join(a, "a").join(b, "b")
-    return stored(with_texts.where(similarity("text_a", "text_b") >= threshold).select("a", "b"), "edges")
+    return stored(with_texts.where(similarity("text_a", "text_b") >= threshold - SLACK).select("a", "b"), "edges")
 
 
 def _sized(members: DataFrame, order=None) -> DataFrame:
@@ -287,47 +293,67 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
     return small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
 
 
-def _possible(threshold: float):
-    """Pairs between the two blocks of a group (within it, if it is one) that differ in label and whose sketches allow the threshold."""
+def _similar(weights: Weights, threshold: float):
+    """Links between the two blocks of a group (within it, if it is one) whose ends aren't in one component yet."""
 
-    def pairs(group: pa.Table) -> pa.Table:
+    def links(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         side = group.column("own").to_numpy() == group.column("j").to_numpy()[0]
-        label, weight = group.column("label").to_numpy(), group.column("weight").to_numpy()
+        label, weight = group.column("label").to_numpy().copy(), group.column("weight").to_numpy()
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.float16).reshape(-1, SKETCH).astype(np.float32)
+        every, number = group.column("every").to_pylist(), group.column("number").to_pylist()
+        size = np.array([len(x) // 4 for x in number])
+        start = np.r_[0, np.cumsum(size)]
+        kinds, run = np.unique(np.frombuffer(b"".join(every), np.uint64), return_inverse=True)
+        own = np.frombuffer(b"".join(number), np.int32) * weights.of(kinds)[run]
         one = group.column("i")[0].as_py() == group.column("j")[0].as_py()
         left, right = np.flatnonzero(side if one else ~side), np.flatnonzero(side)
-        columns, found = np.ascontiguousarray(sketch[right].T), []
+        columns, held, found = np.ascontiguousarray(sketch[right].T), np.zeros(len(kinds)), []
         for x in left:
-            most = np.zeros(len(right), np.float32)
+            other = np.flatnonzero((label[right] != label[x]) & (right > x if one else True))
+            if not len(other):
+                continue
+            most = np.zeros(len(other), np.float32)
             for entry in range(SKETCH):
-                most += np.minimum(columns[entry], sketch[x, entry])
-            most = np.minimum(np.minimum(most * 1.0001, weight[right]), weight[x])
-            possible = (most * (1 + threshold) >= threshold * (weight[right] + weight[x]) * (1 - 1e-6)) & (label[right] != label[x])
-            if one:
-                possible &= right > x
-            found += [(x, y) for y in right[possible]]
+                most += np.minimum(columns[entry, other], sketch[x, entry])
+            y = right[other]
+            most = np.minimum(np.minimum(most * 1.0001, weight[y]), weight[x])
+            y = y[most * (1 + threshold) >= threshold * (weight[y] + weight[x]) * (1 - 1e-6)]
+            if not len(y):
+                continue
+            held[run[start[x] : start[x + 1]]] = own[start[x] : start[x + 1]]
+            first = np.r_[0, np.cumsum(size[y])[:-1]]
+            at = np.repeat(start[y] - first, size[y]) + np.arange(size[y].sum())
+            shared = np.add.reduceat(np.minimum(held[run[at]], own[at]), first)
+            held[run[start[x] : start[x + 1]]] = 0
+            for z in y[shared / (weight[x] + weight[y] - shared) >= threshold - SLACK]:
+                if label[z] != label[x]:
+                    found.append((x, z))
+                    label[label == label[z]] = label[x]
         x, y = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
         return pa.table({"one": group.column("node_id").take(x), "other": group.column("node_id").take(y)})
 
-    return pairs
+    return links
 
 
-def _pairs_across(prefixes: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of a crowded prefix run that are in different components so far and whose sketches allow the threshold.
+def _links_across(prefixes: DataFrame, sketches: DataFrame, labels: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Links (a, b) of texts of a crowded prefix run that are in different components so far.
 
-    A run's texts are dealt to blocks of about BLOCK, and each pair of blocks is a group of its own.
+    A run's texts are dealt to blocks of about BLOCK texts or BLOCK_RUNS runs, and each pair of blocks is a group of its own.
     """
-    named = F.struct(F.xxhash64("label").alias("label"), "weight", "sketch")
-    texts = sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", named.alias("of"))
+    named = F.struct(F.xxhash64("label").alias("label"), "weight", "sketch", "every", "number")
+    texts = sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", named.alias("of"), F.length("every").alias("bytes"))
     texts = stored(texts, "labelled")
-    rows = prefixes.join(texts.select("node", "of.label"), "node")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where((F.col("n") > PAIRED) & (F.col("low") != F.col("high")))
-    rows = rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = prefixes.join(texts.select("node", "of.label", "bytes"), "node")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high")).where((F.col("n") > PAIRED) & (F.col("low") != F.col("high")))
+    blocks_of = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / (8 * BLOCK_RUNS))).cast("int")
+    rows = rows.drop("bytes").join(sizes.select("key", blocks_of.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.join(texts, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("node_id"), "of.*")
-    found = rows.groupBy("key", "i", "j").applyInArrow(_possible(threshold), "one struct<k1: bigint, k2: bigint>, other struct<k1: bigint, k2: bigint>")
-    return stored(found.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), "across")
+    rows = rows.join(texts.drop("bytes"), "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("node_id"), "of.*")
+    found = rows.groupBy("key", "i", "j").applyInArrow(_similar(weights, threshold), "one struct<k1: bigint, k2: bigint>, other struct<k1: bigint, k2: bigint>")
+    found = stored(found.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), "across")
+    discard(texts)
+    return found
 
 
 def _links(members: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> list[DataFrame]:
@@ -353,7 +379,8 @@ def _links(members: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
         discard(rows)
         if not members.limit(1).count():
             break
-    edges.append(_linked(_pairs_across(prefixes.select("key", "node"), sketches.drop("runs"), components(_union(edges)), threshold), crowded, similarity, threshold))
+    edges.append(_links_across(prefixes.select("key", "node"), sketches.drop("runs"), components(_union(edges)), weights, threshold))
+    discard(crowded, sketches, prefixes)
     return edges
 
 
