@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def whole_match(text: Column, pattern: str) -> Column:
-    """Whether the whole string matches, unlike rlike, which looks anywhere."""
-    return text.rlike(f"^(?:{pattern})$")
+    """Whether the whole string matches, unlike rlike, which looks anywhere; a dot is any character."""
+    return text.rlike(rf"(?s)\A(?:{pattern})\z")
 
 
 def one_of(value: Column, values: list) -> Column:
@@ -96,3 +98,66 @@ def cosine(a: Column, b: Column) -> Column:
 def masked_email(value: Column) -> Column:
     """Two characters of the name, and the last part of the domain."""
     return F.concat(F.substring(value, 1, 2), F.lit("**@***."), F.substring_index(value, ".", -1))
+
+
+def size_of(value: Column, kind: str) -> Column:
+    """The length of a string or the number of elements of a list, by the column's type name; null of null."""
+    return F.when(value.isNotNull(), F.size(value) if kind.startswith(("array", "map")) else F.length(value))
+
+
+def any_of(values: Column, test) -> Column:
+    return F.exists(values, test)
+
+
+def comprehension(values: Column, where=None, to=None, most: int | None = None) -> Column:
+    """[x in values where ... | to(x)][..most]"""
+    out = F.filter(values, where) if where else values
+    out = F.transform(out, to) if to else out
+    return F.slice(out, 1, most) if most is not None else out
+
+
+def at(values: Column, index: int) -> Column:
+    """The element of an index from 0, or from the end if it is negative; null beyond."""
+    return F.get(values, F.lit(index) if index >= 0 else F.size(values) + index)
+
+
+def chosen(value: Column, cases: list[tuple], default=None) -> Column:
+    """The simple form of CASE: the first result whose value is equal."""
+    out = F.when(value == F.lit(cases[0][0]), F.lit(cases[0][1]))
+    for known, result in cases[1:]:
+        out = out.when(value == F.lit(known), F.lit(result))
+    return out.otherwise(F.lit(default))
+
+
+def duration(text: Column) -> Column:
+    """Seconds of a duration PnDTnHnMnS; null if it is none."""
+    part = lambda letter, seconds: F.coalesce(F.nullif(F.regexp_extract(text, rf"(\d+(?:\.\d+)?){letter}", 1), F.lit("")).try_cast("double"), F.lit(0.0)) * seconds
+    return F.when(text.rlike(r"\AP(?=.)(\d+D)?(T(?=\d)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?\z"), part("D", 86400) + part("H", 3600) + part("M", 60) + part("S", 1))
+
+
+def json_text(value: Column, path: str) -> Column:
+    return F.get_json_object(value, f"$.{path}")
+
+
+#: Functions that a query may call by name.
+FUNCTIONS = {
+    "toUpper": F.upper, "toLower": F.lower, "trim": F.trim, "toString": lambda x: x.cast("string"), "toInteger": to_integer, "toFloat": to_float,
+    "coalesce": F.coalesce, "abs": F.abs, "round": F.round, "left": F.left, "length": F.length, "date": lambda x: F.to_date(x), "sha256": lambda x: F.sha2(x, 256),
+}
+
+
+def call(name: str, *arguments: Column) -> Column:
+    """A function of the list by name; fails on others."""
+    if name not in FUNCTIONS:
+        raise ValueError(f"no function {name}; there are {sorted(FUNCTIONS)}")
+    return FUNCTIONS[name](*arguments)
+
+
+def custom(expression: str, columns: list[str]) -> Column:
+    """A custom transform in SQL over the given columns and functions of Spark without subqueries."""
+    if any(word in expression.lower().split() for word in ("select", "from", ";")):
+        raise ValueError("a transform is one expression")
+    names = set(re.findall(r"[A-Za-z_]\w*(?!\w*\s*\()", re.sub(r"'[^']*'", "", expression))) - {"case", "when", "then", "else", "end", "and", "or", "not", "is", "null", "true", "false", "in", "like", "as", "between"}
+    if names - set(columns):
+        raise ValueError(f"unknown columns {sorted(names - set(columns))}")
+    return F.expr(expression)

@@ -13,11 +13,11 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
     """(id, score) of the nodes of edges (src, dst): repeated edges count once, a sink's rank isn't dealt out."""
-    edges = edges.select("src", "dst").distinct()
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    edges = _cut(edges.select("src", "dst").distinct())
+    nodes = _cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
     n = nodes.count()
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = edges.join(degree, "src").cache()
+    links = _cut(edges.join(degree, "src"))
     ranks = nodes.withColumn("score", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
         sent = links.join(ranks, links.src == ranks.id).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
@@ -27,27 +27,49 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataF
     return ranks
 
 
+def top_ranks(ranks: DataFrame, k: int = 20) -> DataFrame:
+    """The k nodes of highest score, rounded to six places."""
+    return ranks.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, community): synchronous rounds; the most frequent label around a node wins, the least of equal ones."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().cache()
+    """(id, community): the most frequent label around a node wins, its own and then the least of equal ones.
+
+    In each round only every second node by its hash moves, so that two labellings can't swing to and fro.
+    """
+    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    best = Window.partitionBy("id").orderBy(F.desc("n"), "community")
-    for _ in range(rounds):
+    best = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("own"), "community")
+    still = 0
+    for k in range(2 * rounds):
         votes = both.join(labels, both.dst == labels.id).groupBy(both.src.alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
-        new = _cut(votes.withColumn("k", F.row_number().over(best)).where("k = 1").select("id", "community"))
-        moved = new.join(labels.withColumnRenamed("community", "was"), "id").where("community <> was").limit(1).count()
-        labels = new
-        if not moved:
+        votes = votes.join(labels.withColumnRenamed("community", "was"), "id").withColumn("own", F.col("was") == F.col("community"))
+        won = votes.withColumn("k", F.row_number().over(best)).where("k = 1")
+        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
+        new = _cut(won.select("id", F.when(moves, F.col("community")).otherwise(F.col("was")).alias("community"), "was"))
+        still = 0 if new.where("community <> was").limit(1).count() else still + 1
+        labels = new.select("id", "community")
+        if still == 2:
             break
     return labels
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
-    """(id, score): Brandes' sums over the given source ids (id), levels forward and back as joins keyed by source."""
-    edges = edges.select("src", "dst").distinct().cache()
+def communities(labels: DataFrame, least: int = 3, members: int = 10) -> DataFrame:
+    """(community, size, members) of communities of at least so many nodes, with the first of their ids."""
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("id"))
+    rows = labels.withColumn("k", rank).groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list(F.when(F.col("k") <= members, F.col("id")))).alias("members"))
+    return rows.where(F.col("size") >= least)
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, score) of the nodes reached from the source ids (id): Brandes' sums, levels forward and back as joins keyed by source.
+
+    Paths of any length count, or those of at most `most` edges.
+    """
+    edges = _cut(edges.select("src", "dst").distinct())
     level = sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths"))
     levels, seen = [level], level.select("s", "v")
-    for _ in range(most):
+    while most is None or len(levels) <= most:
         step = level.join(edges, level.v == edges.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         level = _cut(step.join(seen, ["s", "v"], "left_anti"))
         if not level.limit(1).count():
@@ -61,30 +83,42 @@ def betweenness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFra
         up = here.join(edges, here.v == edges.dst).select("s", F.col("src").alias("u"), "paths", "load")
         parents = levels[k - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("up"))
         below = _cut(up.join(parents, ["s", "u"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("up") / F.col("paths") * (1 + F.col("load"))).alias("load")))
+    if not scores:
+        return sources.where("false").select("id", F.lit(0.0).alias("score"))
     total = scores[0]
     for more in scores[1:]:
         total = total.union(more)
     return total.groupBy(F.col("v").alias("id")).agg(F.sum("load").alias("score"))
 
 
-def least_costs(edges: DataFrame, start: int, rounds: int = 20) -> DataFrame:
-    """(id, cost, path) from one node over edges (src, dst, weight): relaxation until nothing gets cheaper."""
+def least_costs(edges: DataFrame, start: int) -> DataFrame:
+    """(id, cost, path) from one node over edges (src, dst, weight): relaxation until nothing gets cheaper.
+
+    Of equal costs the least path counts. Null and negative weights are an error.
+    """
+    bad = F.coalesce(F.col("weight") < 0, F.lit(True))
+    if edges.where(bad).limit(1).count():
+        raise ValueError("least costs need weights of 0 or more")
+    edges = _cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     best = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0.0).alias("cost"), F.array(F.lit(start).cast("long")).alias("path"))
     frontier = best
-    for _ in range(rounds):
+    while True:
         step = frontier.join(edges, frontier.id == edges.src).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.array_append("path", F.col("dst")).alias("path"))
         step = step.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("m")).select("id", "m.cost", "m.path")
         old = best.select("id", F.col("cost").alias("was"))
         frontier = _cut(step.join(old, "id", "left").where("was is null or cost < was").select("id", "cost", "path"))
         if not frontier.limit(1).count():
-            break
+            return best
         best = _cut(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
-    return best
 
 
-def similarity(edges: DataFrame, least: float = 0.1) -> DataFrame:
-    """(a, b, shared, jaccard, cosine) of nodes src that share neighbours dst."""
-    edges = edges.select("src", "dst").distinct()
+def similarity(edges: DataFrame, least: float = 0.1, undirected: bool = False) -> DataFrame:
+    """(a, b, shared, jaccard, cosine) of nodes src that share neighbours dst, or neighbours of either direction.
+
+    All pairs of the nodes around a neighbour are counted, which grows with the square of its degree.
+    """
+    edges = edges.select("src", "dst")
+    edges = (edges.union(edges.select("dst", "src")) if undirected else edges).distinct()
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     left, right = edges.withColumnRenamed("src", "a"), edges.withColumnRenamed("src", "b")
     shared = left.join(right, "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
@@ -98,6 +132,12 @@ def reach(distances: DataFrame) -> DataFrame:
     return distances.groupBy("hops").agg(F.count(F.lit(1)).alias("n"))
 
 
+def reachability(distances: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(hops, n, percent): how many nodes lie at each distance, and their share of all nodes."""
+    total = nodes.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return reach(distances).crossJoin(F.broadcast(total)).select("hops", "n", F.round(F.col("n") * 100 / F.col("total"), 2).alias("percent"))
+
+
 def anomalies(rows: DataFrame, value: str, z: float = 2.5, fence: float = 1.5) -> DataFrame:
     """rows with z_score, by_z, by_iqr and side (high, low) where a value is out of bounds by either rule."""
     stats = rows.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
@@ -116,5 +156,28 @@ def temporal(rows: DataFrame, day: str, value: str, window: int = 7) -> DataFram
 
 
 def trend(series: DataFrame, value: str) -> DataFrame:
-    """One row: slope over the index, lowest, highest, mean."""
-    return series.agg(F.regr_slope(F.col(value), F.col("index").cast("double")).alias("slope"), F.min(value).alias("lowest"), F.max(value).alias("highest"), F.avg(value).alias("mean"))
+    """One row: slope over the index, its name, lowest, highest, mean."""
+    slope = F.regr_slope(F.col(value), F.col("index").cast("double"))
+    name = F.when(F.count(value) < 2, "insufficient_data").when(slope > 0, "increasing").when(slope < 0, "decreasing").otherwise("flat")
+    return series.agg(slope.alias("slope"), name.alias("trend"), F.min(value).alias("lowest"), F.max(value).alias("highest"), F.avg(value).alias("mean"))
+
+
+#: Analyses by name: their function, and the types of the parameters that may be set.
+RECIPES = {
+    "pagerank": (pagerank, {"damping": float, "rounds": int}),
+    "communities": (label_propagation, {"rounds": int}),
+    "similarity": (similarity, {"least": float, "undirected": bool}),
+    "anomalies": (anomalies, {"value": str, "z": float, "fence": float}),
+    "temporal": (temporal, {"day": str, "value": str, "window": int}),
+}
+
+
+def run_recipe(name: str, rows: DataFrame, **parameters) -> DataFrame:
+    """A recipe with typed parameters; unknown names and parameters, and values of another type, are errors."""
+    if name not in RECIPES:
+        raise ValueError(f"no recipe {name}; there are {sorted(RECIPES)}")
+    function, types = RECIPES[name]
+    for key, value in parameters.items():
+        if key not in types or not isinstance(value, (int, float) if types[key] is float else types[key]):
+            raise ValueError(f"{name} takes {types}, not {key}={value!r}")
+    return function(rows, **parameters)

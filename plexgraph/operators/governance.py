@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Column-name parts that point to personal data (fixed values).
-PII_NAMES = ("email", "phone", "mobile", "ssn", "passport", "address", "birth", "dob", "name", "gender", "salary", "password", "card", "iban", "ip")
+#: Column-name parts that point to personal data, and its kind (fixed values).
+PII_NAMES = {
+    "email": "email", "mail": "other", "phone": "phone", "mobile": "phone", "tel": "phone", "name": "name", "birth": "birth_date", "dob": "birth_date",
+    "ssn": "national_id", "resident": "national_id", "rrn": "national_id", "address": "address", "addr": "address", "street": "address", "zip": "address", "postal": "address",
+}
+#: How kinds of personal data are classified (fixed values); other kinds are internal.
+CLASSIFICATION = {"email": "confidential", "phone": "confidential", "name": "confidential", "address": "confidential", "national_id": "restricted", "birth_date": "restricted"}
 
 
 def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,7 +76,28 @@ def implied_keys(schemas: dict[str, list[str]]) -> list[tuple[str, str, str]]:
 
 
 def pii_columns(columns: list[str]) -> list[str]:
-    return [c for c in columns if set(c.lower().split("_")) & set(PII_NAMES)]
+    return [c for c, _ in pii_kinds(columns)]
+
+
+def pii_kinds(columns: list[str]) -> list[tuple[str, str]]:
+    """(column, kind of personal data) by the parts of a name between underscores; the first part that is known counts."""
+    found = []
+    for c in columns:
+        kinds = [PII_NAMES[part] for part in c.lower().split("_") if part in PII_NAMES]
+        found += [(c, kinds[0])] if kinds else []
+    return found
+
+
+def classification(kind: str) -> str:
+    return CLASSIFICATION.get(kind, "internal")
+
+
+def decided(samples: DataFrame, decisions: list[tuple[str, str]]) -> DataFrame:
+    """samples (column, values) after decisions (column, mask, exclude or allow); the last one of a column counts."""
+    last = dict(decisions)
+    masked, excluded = ([c for c, d in last.items() if d == kind] for kind in ("mask", "exclude"))
+    values = F.when(F.col("column").isin(masked), F.transform("values", lambda x: F.lit("[MASKED]"))).when(F.col("column").isin(excluded), F.array().cast("array<string>")).otherwise(F.col("values"))
+    return samples.select("column", values.alias("values"))
 
 
 def looks_like_email(value: Column) -> Column:
@@ -78,8 +105,18 @@ def looks_like_email(value: Column) -> Column:
 
 
 def ambiguous_codes(rows: DataFrame, column: str) -> DataFrame:
-    """One row: whether a column is a whole number of 2 to 20 distinct values, so probably a code."""
-    return rows.agg(F.count_distinct(column).alias("n_distinct")).select(F.lit(column).alias("column"), "n_distinct", F.col("n_distinct").between(2, 20).alias("ambiguous"))
+    """One row: whether a column is probably a code without an explanation.
+
+    That is a column of whole numbers, of 2 to 20 distinct values and not an id; or of
+    texts of which some are one or two capital letters and others are longer.
+    """
+    text = F.col(column).cast("string")
+    whole = F.count_if(text.isNotNull() & ~text.rlike(r"\A-?\d+\z")) == 0
+    short = F.count_if(text.rlike(r"\A[A-Z]{1,2}\z"))
+    is_id = column.lower() == "id" or column.lower().endswith("_id")
+    numeric = whole & F.count_distinct(column).between(2, 20) & F.lit(not is_id)
+    opaque = (short > 0) & (F.count_if(F.length(text) > 2) > 0)
+    return rows.agg(F.count_distinct(column).alias("n_distinct"), numeric.alias("numeric"), opaque.alias("opaque")).select(F.lit(column).alias("column"), "n_distinct", (F.col("numeric") | F.col("opaque")).alias("ambiguous"))
 
 
 def deny(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -121,5 +158,132 @@ def heatmap(rows: DataFrame, y: str, x: str, value: Column, values: list[str]) -
     return rows.groupBy(y).pivot(x, values).agg(value)
 
 
+def last_cell(value: str, order: Column) -> Column:
+    """For a heatmap: of several values of a cell the last by an order."""
+    return F.max_by(value, order)
+
+
+def name_values(rows: DataFrame, name: str, value: str) -> DataFrame:
+    """(name, value): a missing name is empty, a value that is missing or no number is 0."""
+    return rows.select(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(value).try_cast("double"), F.lit(0.0)).alias("value"))
+
+
+#: Parts of column names that a funnel and a timeline look for, the first that fits (fixed values).
+STAGES, VALUES = ("stage", "name", "step", "label", "phase", "status"), ("value", "count", "total", "amount", "users", "sessions")
+DATES = ("date", "time", "timestamp", "created", "at")
+
+
+def named_column(rows: DataFrame, parts: tuple[str, ...], types: tuple[str, ...]) -> str | None:
+    """The first column whose name has one of the parts, else the first of one of the types."""
+    for part in parts:
+        for c in rows.columns:
+            if part in c.lower():
+                return c
+    return next((c for c, t in rows.dtypes if t in types), None)
+
+
+NUMBERS = ("int", "bigint", "double", "float")
+
+
+def funnel(rows: DataFrame) -> DataFrame:
+    """(stage, value) of the columns whose names say so, the largest value first."""
+    stage, value = named_column(rows, STAGES, ("string",)), named_column(rows, VALUES, NUMBERS)
+    return name_values(rows, stage, value).withColumnRenamed("name", "stage").orderBy(F.desc("value"), "stage")
+
+
+def timeline(rows: DataFrame) -> DataFrame:
+    """(at, label) in order of the column of times."""
+    at, label = named_column(rows, DATES, ("date", "timestamp", "timestamp_ntz")), named_column(rows, STAGES, ("string",))
+    return rows.select(F.col(at).alias("at"), F.col(label).cast("string").alias("label")).where("at is not null").orderBy("at", "label")
+
+
+def level(value: Column, warning: float | None = None, critical: float | None = None, above: bool = True) -> Column:
+    """critical, warning or normal by bounds that a value reaches from below, or from above."""
+    reaches = (lambda bound: value >= bound) if above else (lambda bound: value <= bound)
+    out = F.lit("normal")
+    for name, bound in (("warning", warning), ("critical", critical)):
+        out = F.when(reaches(bound), name).otherwise(out) if bound is not None else out
+    return out
+
+
+def custom_rule(counts: DataFrame, threshold: float = 1.0, rule: str = "custom") -> DataFrame:
+    """A rule of one's own: one row with violations and total, by name or as the first two columns."""
+    names = [c if c in counts.columns else counts.columns[k] for k, c in enumerate(("violations", "total"))]
+    return _scored(rule, counts.select(F.col(names[0]).cast("long").alias("violations"), F.col(names[1]).cast("long").alias("total")), threshold)
+
+
+def run_rules(spark, rules: dict) -> DataFrame:
+    """(rule, violations, total, score, passed, error) of rules by name, each a function that gives a scored row; one that fails gives its error."""
+    rows = []
+    for name, rule in rules.items():
+        try:
+            found = rule().first()
+            rows.append((name, found["violations"], found["total"], found["score"], found["passed"], None))
+        except Exception as failure:  # noqa: BLE001 - a rule is a user's code, and its failure is a result
+            rows.append((name, None, None, None, False, type(failure).__name__))
+    return spark.createDataFrame(rows, "rule string, violations long, total long, score double, passed boolean, error string")
+
+
+def column_statistics(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, n_null, n_distinct, lowest, highest, sampled) in one pass; binary columns have their nulls counted only.
+
+    sampled says whether values may be shown: up to 30 distinct ones always, up to 100
+    if they are 50 characters long at most on average.
+    """
+    parts = []
+    for c, kind in rows.dtypes:
+        if columns is None or c in columns:
+            text = F.col(c).cast("string")
+            n = F.count_distinct(text) if kind != "binary" else F.lit(None).cast("long")
+            low, high = (F.min(text), F.max(text)) if kind != "binary" else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+            sampled = (n <= 30) | ((n <= 100) & (F.coalesce(F.avg(F.length(text)), F.lit(0.0)) <= 50)) if kind != "binary" else F.lit(False)
+            parts.append(F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("n_null"), n.alias("n_distinct"), low.alias("lowest"), high.alias("highest"), sampled.alias("sampled")))
+    return rows.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+
+
+def sampled_values(rows: DataFrame, column: str, most: int = 100, characters: int = 200) -> DataFrame:
+    """The distinct values of a column by the policy of column_statistics, cut to 200 characters; none where it forbids them."""
+    allowed = column_statistics(rows, [column]).select("sampled")  # one row
+    values = rows.select(F.left(F.col(column).cast("string"), F.lit(characters)).alias("value")).where("value is not null").distinct().orderBy("value").limit(most)
+    return values.join(F.broadcast(allowed.where("sampled")), how="cross").select("value")
+
+
+def enrichment(statistics: DataFrame) -> DataFrame:
+    """(column, text): what a profile says of a column, its range or that it is empty or has one value."""
+    text = F.when(F.col("n_distinct") == 0, "empty").when(F.col("n_distinct") == 1, F.concat(F.lit("always "), "lowest")).otherwise(F.concat(F.lit("from "), "lowest", F.lit(" to "), "highest", F.lit(", "), F.col("n_distinct").cast("string"), F.lit(" values")))
+    return statistics.select("column", text.alias("text"))
+
+
+MARK = " | profile: "
+
+
+def enriched(description: str | None, text: str) -> str:
+    """A description with a profile's text; an earlier one is replaced."""
+    manual = (description or "").split(MARK)[0].strip()
+    return f"{manual}{MARK}{text}" if manual else f"{MARK.strip()} {text}"
+
+
+def masked_map(rows: DataFrame, column: str, masked: list[str], denied: list[str], pattern: str = "***") -> DataFrame:
+    """rows with keys of a map column denied (gone) or masked; denied wins."""
+    kept = F.map_filter(F.col(column), lambda k, v: ~k.isin(denied)) if denied else F.col(column)
+    return rows.withColumn(column, F.transform_values(kept, lambda k, v: F.when(k.isin(masked), F.lit(pattern)).otherwise(v)) if masked else kept)
+
+
+def effective_policies(policies: DataFrame, role: str, workspace_role: str, user: str) -> DataFrame:
+    """Active policies (subject_kind, subject, active, priority) of a role, a role in the workspace or a user, the most important first."""
+    of = lambda kind, subject: (F.col("subject_kind") == kind) & (F.col("subject") == subject)
+    return policies.where(F.col("active") & (of("role", role) | of("workspace_role", workspace_role) | of("user", user))).orderBy(F.desc("priority"), "subject_kind", "subject")
+
+
+def synchronous(states: DataFrame) -> DataFrame:
+    """One row: the share of labels that are matched, in whole percent, cut off; 100 of none."""
+    return states.agg(F.expr("coalesce(cast(floor(try_divide(count_if(state = 'matched') * 100, count(*))) as bigint), 100)").alias("sync_percent"))
+
+
+def schema_checksum(schema: dict[str, str]) -> str:
+    """A hash of names and types that doesn't depend on the order of columns."""
+    return hashlib.sha256(";".join(f"{name.lower()}:{kind.lower()}" for name, kind in sorted(schema.items())).encode()).hexdigest()
+
+
 def union_of(rules: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)

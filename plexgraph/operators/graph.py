@@ -82,17 +82,30 @@ class PropertyGraph:
             return out.unionByName(back.where(F.col("from") != F.col("to")))
         return out if direction == "out" else back
 
-    def expand(self, bindings: DataFrame, start: str, kind: str, end: str, label: str | None = None, direction: str = "out", edge: str | None = None, where: Column | None = None, optional: bool = False) -> DataFrame:
-        """Bindings with a step from `start`; a bound `end` closes a cycle. With optional, `where` belongs to the join."""
+    def _oriented(self, kind: str, direction: str, label: str | None) -> str:
+        """The direction of a step; an undirected one between two labels goes the way that the end's label says."""
         if kind not in self.edges_by_type:
             raise ValueError(f"no edge type {kind}; there are {sorted(self.edges_by_type)}")
+        view = self.edges_by_type[kind]
+        if direction != "both" or view.source == view.target:
+            return direction
+        if label not in (view.source, view.target):
+            raise ValueError(f"an undirected {kind} needs the label of its end, {view.source} or {view.target}")
+        return "out" if label == view.target else "in"
+
+    def expand(self, bindings: DataFrame, start: str, kind: str, end: str, label: str | None = None, direction: str = "out", edge: str | None = None, where: Column | None = None, optional: bool = False, bare: bool = False) -> DataFrame:
+        """Bindings with a step from `start`; a bound `end` closes a cycle. With optional, `where` belongs to the join.
+
+        With bare, `end` has its id alone and no node table is read: for edges whose ends are known to exist.
+        """
+        direction = self._oriented(kind, direction, label) if end not in bindings.columns else direction
         steps = self._steps(kind, direction)
         view = self.edges_by_type[kind]
         if end in bindings.columns:
             joined = bindings.join(steps, (F.col(f"{start}.id") == F.col("from")) & (F.col(f"{end}.id") == F.col("to")))
             return joined.select(*bindings.columns, *([F.col("edge").alias(edge)] if edge else []))
         label = label or (view.target if direction == "out" else view.source)
-        far = steps.join(self.scan(end, label), F.col("to") == F.col(f"{end}.id"))
+        far = steps.withColumn(end, F.struct(F.col("to").alias("id"))) if bare else steps.join(self.scan(end, label), F.col("to") == F.col(f"{end}.id"))
         if edge:
             far = far.withColumnRenamed("edge", edge)
         on = F.col(f"{start}.id") == F.col("from")
@@ -105,40 +118,80 @@ class PropertyGraph:
 
     def exists(self, bindings: DataFrame, start: str, kind: str, label: str | None = None, direction: str = "out", where: Column | None = None, negate: bool = False) -> DataFrame:
         """Bindings for which a step to a node `x` exists, or doesn't."""
-        steps = self.expand(self.scan("s", self.edges_by_type[kind].source if direction == "out" else self.edges_by_type[kind].target), "s", kind, "x", label, direction, edge="r", where=where)
+        direction = self._oriented(kind, direction, label)
+        steps = self.expand(self.scan("s", self.edges_by_type[kind].target if direction == "in" else self.edges_by_type[kind].source), "s", kind, "x", label, direction, edge="r", where=where)
         found = steps.select(F.col("s.id").alias("found")).distinct()
         return bindings.join(found, F.col(f"{start}.id") == F.col("found"), "left_anti" if negate else "left_semi")
 
-    def trails(self, kind: str, start: DataFrame, least: int = 1, most: int = 3, direction: str = "out") -> DataFrame:
-        """(start, end, hops, edges) of the paths of least..most edges without a repeated edge, from start ids (id)."""
-        steps = self._steps(kind, direction).select("from", "to", F.col("edge.eid").alias("eid"))
+    def trails(self, kinds: str | tuple[str, ...], start: DataFrame, least: int = 1, most: int | None = 3, direction: str = "out") -> DataFrame:
+        """(start, end, hops, edges) of the paths of least..most edges without a repeated edge, from start ids (id); without most, of any length."""
+        kinds = (kinds,) if isinstance(kinds, str) else kinds
+        named = lambda kind: F.concat_ws(":", F.lit(kind), "edge.eid") if len(kinds) > 1 else F.col("edge.eid").cast("string")
+        steps = reduce(DataFrame.unionByName, [self._steps(kind, direction).select("from", "to", named(kind).alias("eid")) for kind in kinds])
         level = start.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array().cast("array<string>").alias("edges"))
-        found = []
-        for hops in range(1, most + 1):
-            level = level.join(steps, F.col("end") == F.col("from")).where(~F.array_contains("edges", F.col("eid").cast("string")))
-            level = level.select("start", F.col("to").alias("end"), F.array_append("edges", F.col("eid").cast("string")).alias("edges"))
+        found = [level.select("start", "end", F.lit(0).alias("hops"), "edges")] if least == 0 else []
+        hops = 0
+        while most is None or hops < most:
+            hops += 1
+            level = level.join(steps, F.col("end") == F.col("from")).where(~F.array_contains("edges", F.col("eid")))
+            level = level.select("start", F.col("to").alias("end"), F.array_append("edges", F.col("eid")).alias("edges"))
+            if most is None:
+                level = stored_level(level)
+                if not level.limit(1).count():
+                    break
             if hops >= least:
                 found.append(level.select("start", "end", F.lit(hops).alias("hops"), "edges"))
-        return reduce(DataFrame.unionByName, found)
+        return reduce(DataFrame.unionByName, found) if found else level.select("start", "end", F.lit(0).alias("hops"), "edges").where("false")
+
+    def all_paths(self, kinds: str | tuple[str, ...], start: DataFrame, end: DataFrame, most: int | None = None, direction: str = "out") -> DataFrame:
+        """The trails from start ids to end ids (id)."""
+        return self.trails(kinds, start, 1, most, direction).join(end.select(F.col("id").alias("end")).distinct(), "end", "left_semi").select("start", "end", "hops", "edges")
 
-    def shortest(self, kinds: tuple[str, ...], start: DataFrame, most: int = 10, both: bool = False, every: bool = False) -> DataFrame:
-        """(start, end, hops, path) from start ids (id): one shortest path of least node order, or all of them."""
+    def shortest(self, kinds: tuple[str, ...], start: DataFrame, end: DataFrame | None = None, most: int | None = None, both: bool = False, every: bool = False) -> DataFrame:
+        """(start, end, hops, path) from start ids to end ids (id), or to all: one shortest path of least node order, or all of them.
+
+        The search ends when every pair of start and end is found, nothing new is reached, or after `most` steps.
+        """
         edges = self.edges(*kinds).select("src", "dst")
         if both:
             edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        edges = edges.distinct()
-        frontier = start.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("path"))
-        reached, seen = [], frontier.select("start", "end").distinct()
-        for hops in range(1, most + 1):
+        edges = stored_level(edges.distinct())
+        frontier = start.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("path")).distinct()
+        reached, seen, hops = [], frontier.select("start", "end"), 0
+        wanted = None if end is None else end.select(F.col("id").alias("end")).distinct()
+        open_pairs = None if wanted is None else stored_level(frontier.select("start").crossJoin(wanted).where("start <> end"))
+        while most is None or hops < most:
+            hops += 1
             step = frontier.join(edges, F.col("end") == F.col("src")).select("start", F.col("dst").alias("end"), F.array_append("path", F.col("dst")).alias("path"))
             step = step.join(seen, ["start", "end"], "left_anti")
-            frontier = step.distinct() if every else step.groupBy("start", "end").agg(F.min("path").alias("path"))
-            frontier = frontier.checkpoint() if hops % 4 == 0 and start.sparkSession.sparkContext.getCheckpointDir() else frontier.cache()
+            frontier = stored_level(step.distinct() if every else step.groupBy("start", "end").agg(F.min("path").alias("path")))
             if not frontier.limit(1).count():
                 break
             reached.append(frontier.select("start", "end", F.lit(hops).alias("hops"), "path"))
-            seen = seen.unionByName(frontier.select("start", "end").distinct())
-        return reduce(DataFrame.unionByName, reached) if reached else frontier.select("start", "end", F.lit(0).alias("hops"), "path")
+            seen = stored_level(seen.unionByName(frontier.select("start", "end").distinct()))
+            if wanted is not None:
+                open_pairs = stored_level(open_pairs.join(frontier.select("start", "end"), ["start", "end"], "left_anti"))
+                if not open_pairs.limit(1).count():
+                    break
+                frontier = frontier.join(open_pairs.select("start").distinct(), "start", "left_semi")
+        rows = reduce(DataFrame.unionByName, reached) if reached else frontier.select("start", "end", F.lit(0).alias("hops"), "path").where("false")
+        return rows if wanted is None else rows.join(wanted, "end", "left_semi").select("start", "end", "hops", "path")
+
+    def scope(self, labels: tuple[str, ...] = (), kinds: tuple[str, ...] = (), where: dict[str, Column] | None = None) -> DataFrame:
+        """(kind, eid, src, dst) of an analysis: edges of some types whose ends have some labels and conditions by label."""
+        parts = []
+        for kind in kinds or self.edges_by_type:
+            view = self.edges_by_type[kind]
+            if labels and not {view.source, view.target} <= set(labels):
+                continue
+            rows = self.edges(kind)
+            for end, label in (("src", view.source), ("dst", view.target)):
+                if where and label in where:
+                    rows = rows.join(self.nodes(label).where(where[label]).select(F.col("id").alias(end)), end, "left_semi")
+            parts.append(rows.select("kind", "eid", "src", "dst"))
+        if not parts:
+            raise ValueError("no edge type is in the scope")
+        return reduce(DataFrame.unionByName, parts)
 
     def search(self, text: str, labels: tuple[str, ...] = (), limit: int = 100) -> DataFrame:
         """(label, id) of nodes with the text in any property."""
@@ -156,6 +209,8 @@ class PropertyGraph:
             for here, there, direction, own in (("src", "dst", "outgoing", view.source), ("dst", "src", "incoming", view.target)):
                 if own == label:
                     parts.append(view.rows.where(F.col(here) == node).select(F.lit(kind).alias("kind"), F.lit(direction).alias("direction"), F.col(there).alias("id")))
+        if not parts:
+            return self.nodes(label).where("false").select(F.lit("").alias("kind"), F.lit("").alias("direction"), "id")
         return reduce(DataFrame.unionByName, parts).distinct().orderBy("kind", "direction", "id").limit(limit)
 
     def label_counts(self) -> DataFrame:
@@ -164,3 +219,30 @@ class PropertyGraph:
     def relationship_patterns(self, limit: int = 50) -> DataFrame:
         parts = [v.rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(v.source).alias("source"), F.lit(k).alias("kind"), F.lit(v.target).alias("target"), "n") for k, v in self.edges_by_type.items()]
         return reduce(DataFrame.unionByName, parts).orderBy(F.desc("n"), "kind").limit(limit)
+
+    def totals(self) -> DataFrame:
+        """One row: nodes and edges of the graph."""
+        count = lambda tables: reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")) for df in tables]).agg(F.sum("n").alias("n"))
+        edges = count([v.rows for v in self.edges_by_type.values()])
+        return count(self.nodes_by_label.values()).select(F.col("n").alias("nodes")).crossJoin(edges.select(F.col("n").alias("edges")))  # one row each
+
+    def properties(self, label: str) -> DataFrame:
+        """(property, type, mandatory) of a label: a property is mandatory if no node lacks it."""
+        rows = self.nodes(label)
+        parts = [F.struct(F.lit(n).alias("property"), F.lit(t).alias("type"), (F.count(F.col(n)) == F.count(F.lit(1))).alias("mandatory")) for n, t in rows.dtypes]
+        return rows.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+
+
+def stored_level(df: DataFrame) -> DataFrame:
+    """Ends the lineage of a round in the shared checkpoint folder where the session has one, else keeps rows cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
+def hop_range(least: int | None, most: int | None) -> tuple[int, int] | None:
+    """A normal range of hops, or None for a single step: bounds over ten count as absent, and swapped ones are put in order."""
+    least, most = (None if x is not None and x > 10 else x for x in (least, most))
+    if least is not None and most is not None and least > most:
+        least, most = most, least
+    if (least, most) in ((0, 0), (1, 1), (None, None), (0, None), (None, 0)):
+        return None
+    return least if least is not None else 1, most if most is not None else 10

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +58,50 @@ def inferred_types(rows: DataFrame) -> DataFrame:
         named = F.when(F.count(value) == 0, "string").when(F.count_if(value.isNotNull() & ~F.lower(value).isin("true", "false")) == 0, "bool").when(fits("long"), "int").when(fits("double"), "float").otherwise("string")
         parts.append(F.struct(F.lit(c).alias("column"), named.alias("type")))
     return rows.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+
+
+def declared(spark: SparkSession, spec: dict) -> DataFrame:
+    """A source by its declaration: {kind, path or url and table, delimiter, header, root}; an unknown kind is read as CSV.
+
+    root is the field of a JSON document whose list holds the rows.
+    """
+    kind = spec.get("kind", "csv")
+    if kind == "table":
+        return read_table(spark, spec["url"], spec["table"])
+    if kind == "json":
+        rows = read(spark, "json", spec["path"])
+        return rows.select(F.explode(F.col(spec["root"])).alias("row")).select("row.*") if spec.get("root") else rows
+    if kind in FORMATS and kind != "csv":
+        return read(spark, kind, spec["path"])
+    return read(spark, "csv", spec["path"], sep=spec.get("delimiter", ","), header=spec.get("header", True))
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n) in one job."""
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def each_table(names: list[str], of, at_once: int = 8) -> list:
+    """of(name) for each table, some jobs at a time, in the order of names; an error is raised after the others are done."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(of, names))
+
+
+#: Queries for a database's columns, and for its keys and references.
+CATALOGUE = {
+    "columns": "select table_name, column_name, data_type, is_nullable from information_schema.columns where table_schema = '{schema}'",
+    "keys": "select k.table_name, k.column_name, c.constraint_type from information_schema.key_column_usage k join information_schema.table_constraints c on c.constraint_name = k.constraint_name and c.table_schema = k.table_schema where k.table_schema = '{schema}'",
+}
+
+
+def catalogue(spark: SparkSession, url: str, what: str, schema: str = "public", **options) -> DataFrame:
+    """The columns or keys of a database's tables, read over JDBC."""
+    if url.split(":")[1] not in DATABASES or not schema.isidentifier():
+        raise ValueError(f"{url} is none of {DATABASES}, or {schema} no name")
+    return spark.read.format("jdbc").options(url=url, query=CATALOGUE[what].format(schema=schema), **options).load()
+
+
+def sampled_documents(rows: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """n documents in random order: a sampling operator."""
+    return rows.orderBy(F.rand(seed)).limit(n)
