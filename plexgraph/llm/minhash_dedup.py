@@ -344,7 +344,9 @@ def _links_across(prefixes: DataFrame, sketches: DataFrame, labels: DataFrame, w
     named = F.struct(F.xxhash64("label").alias("label"), "weight", "sketch", "every", "number")
     texts = sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", named.alias("of"), F.length("every").alias("bytes"))
     texts = stored(texts, "labelled")
-    rows = prefixes.join(texts.select("node", "of.label", "bytes"), "node")
+    # only runs that are crowded: in the others all pairs were compared
+    many = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PAIRED).select("key")
+    rows = prefixes.join(many, "key").join(texts.select("node", "of.label", "bytes"), "node")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high")).where((F.col("n") > PAIRED) & (F.col("low") != F.col("high")))
     blocks_of = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / (8 * BLOCK_RUNS))).cast("int")
     rows = rows.drop("bytes").join(sizes.select("key", blocks_of.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
