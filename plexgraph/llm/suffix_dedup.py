@@ -36,6 +36,8 @@ from plexgraph.llm.textvec import mix64, span_hashes, string_bytes
 SPAN = 200
 #: Distinct segments of an anchor, or of parts with one key, that may meet in one task.
 HOT = 4096
+#: A segment with more than this part of all places is a hot one.
+HOT_SEGMENTS = 1 << 15
 #: Bytes of segments in one collection; more only where one anchor has more.
 COLLECTION_BYTES = 48_000
 
@@ -181,9 +183,20 @@ def _wanted_segments(keyed: DataFrame, span: int) -> DataFrame:
 
 
 def _found(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """Where those segments lie, once for each text."""
+    """Where those segments lie, once for each text.
+
+    Segments of very many places are looked up in a broadcast table, which has at
+    most HOT_SEGMENTS rows since each has that part of all places, and their places
+    are dealt by text; the others are joined by segment.
+    """
+    total = wanted.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
+    is_hot = F.col("copies") > max(1000, total / HOT_SEGMENTS)
     placed = keyed.select("k1", "k2", "text").mapInArrow(_placed_segments(span), "k1 long, k2 long, anchor long, seg long, first int, last int")
-    return stored(placed.join(wanted, ["anchor", "seg"]).distinct(), "places")
+    hot = wanted.where(is_hot).select("anchor", "seg", F.col("copies").alias("hot_copies"), F.col("kinds").alias("hot_kinds"))
+    rows = placed.join(F.broadcast(hot), ["anchor", "seg"], "left").withColumn("salt", F.when(F.col("hot_copies").isNotNull(), F.col("k1")).otherwise(0))
+    rows = rows.join(wanted.where(~is_hot).withColumn("salt", F.lit(0).cast("long")), ["anchor", "seg", "salt"], "left")
+    rows = rows.select("anchor", "seg", "k1", "k2", "first", "last", F.coalesce("hot_copies", "copies").alias("copies"), F.coalesce("hot_kinds", "kinds").alias("kinds"))
+    return stored(rows.where("copies is not null").distinct(), "places")
 
 
 def _pieces(keyed: DataFrame, found: DataFrame, span: int) -> DataFrame:
@@ -240,7 +253,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, text: str = "text", hot: i
     parts = F.when(F.col("copies") > 1, F.array(F.struct(F.col("first").alias("low"), (F.col("last") + span).alias("high")))).otherwise(
         F.transform(F.arrays_zip("low", "high"), lambda x: F.struct((x["low"] + F.col("first")).alias("low"), (x["high"] + F.col("first")).alias("high")))
     )
-    spans = found.join(covered, ["anchor", "seg"], "left").withColumn("part", parts).where("part is not null").groupBy("k1", "k2").agg(F.flatten(F.collect_list("part")).alias("spans"))
+    # copies as a whole need no runs, so they are dealt by text
+    salted = found.withColumn("salt", F.when(F.col("copies") > 1, F.col("k1")).otherwise(0))
+    spans = salted.join(covered.withColumn("salt", F.lit(0).cast("long")), ["anchor", "seg", "salt"], "left").withColumn("part", parts).where("part is not null").groupBy("k1", "k2").agg(F.flatten(F.collect_list("part")).alias("spans"))
     spans = stored(spans, "spans")
     discard(found, covered)
     return spans
