@@ -231,6 +231,6 @@ def predict(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
 
 def word_languages(docs: DataFrame, field: Field, text: str = "text", to: str = "word_langs") -> DataFrame:
-    """docs with the language of each word (run of letters) of each text, array<string>: where a text switches, so do they."""
+    """docs with the language of each word (run of letters and of signs beyond ASCII) of each text, array<string>: where a text switches, so do they."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
     return replaced(docs, {to: F.arrow_udf(lambda texts: shared.value.label(texts), "array<string>")(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
