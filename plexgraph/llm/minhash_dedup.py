@@ -49,6 +49,8 @@ THRESHOLD = 0.8
 SHARE = 0.001
 #: Runs of a chunk of documents that are counted at once, and candidates that are broadcast; more of them are joined.
 CHUNK, BROADCAST = 1 << 22, 1 << 20
+#: The share of a task's documents is this many documents at least, unless the corpus has fewer.
+CHUNK_LEAST = 8
 #: Entries of the table that orders the runs of crowded texts from rare to common.
 TABLE = 1 << 16
 PAIRED = 32
@@ -144,6 +146,8 @@ def _frequencies(candidates):
 
 def run_weights(texts: DataFrame, share: float = SHARE) -> Weights:
     """Weights from all rows of a one-column DataFrame."""
+    # few documents in many partitions: read together, so that a chunk's share is several documents
+    texts = texts.coalesce(max(1, int(texts.count() * share / CHUNK_LEAST)))
     reports = stored(texts.mapInArrow(_reports(share), "run long, n long, slack long"), "reports")
     documents, slack = reports.where("run = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("slack"), F.lit(0))).first()
     least = share * documents
