@@ -182,6 +182,11 @@ def _wanted_segments(keyed: DataFrame, span: int) -> DataFrame:
     return stored(sums.join(kinds.drop("most"), "anchor").where("copies > 1 or kinds > 1"), "segments")
 
 
+def _nought(column: str):
+    """0, but not as a literal, which the optimizer would take out of the join's keys."""
+    return F.pmod(F.col(column), F.lit(1)).cast("long")
+
+
 def _found(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """Where those segments lie, once for each text.
 
@@ -194,7 +199,7 @@ def _found(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     placed = keyed.select("k1", "k2", "text").mapInArrow(_placed_segments(span), "k1 long, k2 long, anchor long, seg long, first int, last int")
     hot = wanted.where(is_hot).select("anchor", "seg", F.col("copies").alias("hot_copies"), F.col("kinds").alias("hot_kinds"))
     rows = placed.join(F.broadcast(hot), ["anchor", "seg"], "left").withColumn("salt", F.when(F.col("hot_copies").isNotNull(), F.col("k1")).otherwise(0))
-    rows = rows.join(wanted.where(~is_hot).withColumn("salt", F.lit(0).cast("long")), ["anchor", "seg", "salt"], "left")
+    rows = rows.join(wanted.where(~is_hot).withColumn("salt", _nought("copies")), ["anchor", "seg", "salt"], "left")
     rows = rows.select("anchor", "seg", "k1", "k2", "first", "last", F.coalesce("hot_copies", "copies").alias("copies"), F.coalesce("hot_kinds", "kinds").alias("kinds"))
     return stored(rows.where("copies is not null").distinct(), "places")
 
@@ -255,7 +260,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, text: str = "text", hot: i
     )
     # copies as a whole need no runs, so they are dealt by text
     salted = found.withColumn("salt", F.when(F.col("copies") > 1, F.col("k1")).otherwise(0))
-    spans = salted.join(covered.withColumn("salt", F.lit(0).cast("long")), ["anchor", "seg", "salt"], "left").withColumn("part", parts).where("part is not null").groupBy("k1", "k2").agg(F.flatten(F.collect_list("part")).alias("spans"))
+    spans = salted.join(covered.withColumn("salt", _nought("anchor")), ["anchor", "seg", "salt"], "left").withColumn("part", parts).where("part is not null").groupBy("k1", "k2").agg(F.flatten(F.collect_list("part")).alias("spans"))
     spans = stored(spans, "spans")
     discard(found, covered)
     return spans
