@@ -110,3 +110,32 @@ def test_implied_keys_and_pii_names():
     assert governance.implied_keys({"orders": ["id", "customer_id"], "customers": ["id"], "categories": ["id"], "products": ["category_id"]}) == [("orders", "customer_id", "customers"), ("products", "category_id", "categories")]
     assert governance.pii_columns(["user_email", "total"]) == ["user_email"]
     assert governance.drift({"a": "int", "b": "string"}, {"a": "double", "c": "int"}) == [("c", "added"), ("b", "removed"), ("a", "widened")]
+
+
+def test_least_costs_goes_to_the_end_and_refuses_negative_weights(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(24)], "src long, dst long, weight double")
+    assert analytics.least_costs(chain, 0).count() == 25
+    with pytest.raises(ValueError):
+        analytics.least_costs(chain.selectExpr("src", "dst", "-weight as weight"), 0)
+
+
+def test_similarity_in_both_directions(spark):
+    edges = spark.createDataFrame([(1, 3), (3, 2)], "src long, dst long")
+    assert analytics.similarity(edges).count() == 0
+    assert rows_of(analytics.similarity(edges, undirected=True), "a", "b", "jaccard") == [(1, 2, 1.0)]
+
+
+def test_betweenness_and_paths_of_no_edges(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert analytics.betweenness(none, spark.createDataFrame([(1,)], "id long")).count() == 0
+    g = graph_of(spark, [(1, 2)])
+    assert g.shortest(("E",), spark.createDataFrame([(2,)], "id long")).count() == 0
+
+
+def test_whole_match_and_duplicate_keys(spark):
+    row = spark.range(1).select(scalar.whole_match(F.lit("abc\n"), "abc"), scalar.whole_match(F.lit("a\nc"), "a.c")).first()
+    assert tuple(row) == (False, True)
+    old = spark.createDataFrame([(1, "a"), (2, "x")], "id int, v string")
+    new = spark.createDataFrame([(1, "c"), (1, "b"), (3, "x"), (3, "y"), (None, "n")], "id int, v string")
+    assert sorted(map(tuple, loading.upsert(old, new, ["id"]).where("id is not null").collect())) == [(1, "c"), (2, "x"), (3, "y")]
+    assert loading.upsert(old, new, ["id"], "skip").where("id = 3").count() == 1 and loading.upsert(old, new, ["id"]).where("id is null").count() == 1
