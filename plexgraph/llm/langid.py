@@ -30,6 +30,8 @@ from plexgraph.llm.textvec import LOWER, blocks, mix64, span_hashes, string_byte
 
 FEATURES = 1 << 15
 TRAIN_DOCS = 100
+#: Parts in which the candidates of a language are ranked first.
+PARTS = 64
 PIECE = 32
 #: Letters, and all bytes of other characters; apostrophes and the like end a word.
 LETTER = np.zeros(256, bool)
@@ -204,9 +206,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     The sample is chosen by ids alone, train_docs of a language, so that it can be
     broadcast to the documents and no other text is moved.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     rows = docs.where("doc_id is not null and text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id"))
-    chosen = rows.select("lang", "h", "doc_id").distinct().withColumn("rank", rank).where(F.col("rank") <= train_docs).drop("rank", "h")
+    ids = rows.select("lang", "h", "doc_id").distinct()
+    for keys in (["lang", F.pmod("h", F.lit(PARTS))], ["lang"]):  # the first of each part, and of those the first of all
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= train_docs).drop("rank")
+    chosen = ids.drop("h")
     sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"])
     languages = sorted(sample["lang"].unique())
     field = Field(languages)
