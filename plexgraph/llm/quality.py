@@ -73,7 +73,9 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct("*").alias("doc"), body.alias("body"))
     rows = rows.withColumn("words", F.filter(F.split("body", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     rows = rows.withColumn("lines", F.filter(F.split("body", "\n"), lambda line: F.translate(line, SPACES, "") != ""))
-    gram = lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(RUN)])
+    # each word is hashed once, a window by the hashes of its words
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    gram = lambda i: F.xxhash64(*[F.get("hashes", i + j) for j in range(RUN)])
     rows = rows.withColumn("grams", F.when(F.size("words") >= RUN, F.transform(F.sequence(F.lit(0), F.size("words") - RUN), gram)).otherwise(F.array().cast("array<bigint>")))
     # windows are sorted only where one of them occurs twice
     ordered = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
