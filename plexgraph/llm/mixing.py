@@ -12,7 +12,8 @@ target * (1 + a * (2 t - 1)) with a slope a of `slopes`; its integral is inverte
 at the words demanded so far, which gives each taken copy its position in [0, 1].
 
 Cases: null texts have size 0, and documents of size 0 are never short of their
-target but take 0 words. Null ids and repeated rows are rows like others. If all
+target but take 0 words. Repeated rows are rows like others, and rows without an id
+stand by a hash of their text. If all
 sizes are 0 the targets are 0. An empty table gives an empty table.
 """
 
@@ -53,7 +54,7 @@ def mix(docs: DataFrame, shares: tuple = SHARES, total: float = TOTAL, cap: floa
         F.struct("*").alias("doc"),
         F.col(f"`{source}`").alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")).alias("order"),
+        F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("order"),
         F.col(f"`{doc_id}`").alias("id"),
     ).withColumn("range", F.substring("order", 1, RANGE_DIGITS))
     targets = source_targets(rows.select("source", "size"), shares, total, cap, slopes)

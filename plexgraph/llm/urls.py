@@ -67,12 +67,14 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") ->
     host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
     rows = pages.select(F.struct("*").alias("page"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), canonical(F.col("host"), F.col("path")).alias("url"))
+    rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), F.when(name.isNull(), canonical(F.col("host"), F.col("path"))).alias("url"))
     listed = listed.where("url is not null").select("url").distinct()
     blooms, blocks = bloom_filter(listed)
     blooms = F.broadcast(blooms) if blocks <= BROADCAST_BLOCKS else blooms
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(blocks))).join(blooms, "block", "left")
-    passes = F.coalesce(F.expr(" and ".join(f"(w{i} & {m}) != 0" for i, m in enumerate(_masks()))), F.lit(False)) & F.col("url").isNotNull() & F.col("rule").isNull()
+    # rows that need no look-up get blocks that don't exist, so that they aren't one key of the join
+    none = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    rows = rows.withColumn("block", F.when(F.col("url").isNull(), none).otherwise(F.pmod(F.xxhash64("url"), F.lit(blocks)))).join(blooms, "block", "left")
+    passes = F.coalesce(F.expr(" and ".join(f"(w{i} & {m}) != 0" for i, m in enumerate(_masks()))), F.lit(False)) & F.col("url").isNotNull()
     rows = rows.select("page", "host", "path", "rule", "ruled", "url", passes.alias("possible"))
     hits = rows.where("possible").join(listed.withColumn("listed", F.lit(True)), "url", "left")
     others = rows.where("not possible").withColumn("listed", F.lit(False))
