@@ -251,3 +251,24 @@ def test_runs_that_end_inside_a_character():
     assert [(r["kept"].decode(), r["n_removed"], r["n_spans"]) for r in out] == [("aé\ufffd", 2, 1), ("b", 3, 1), ("", 0, 0)]
     spans = pa.array([[{"low": 2, "high": 4}]], kind)
     assert suffix_dedup._without(pa.array(["aéé"]), spans, whole_characters=True).to_pylist()[0]["kept"] == b"a"
+
+
+def test_url_filter_beyond_the_broadcast_bound(spark, monkeypatch):
+    texts = ["https://www.a.com/x/", "https://b.org/fr/1", "http://c.net/1", None, "no host", "https://d.com/y.html"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(texts * 3)], "page_id long, url string")
+    listed = spark.createDataFrame([("a.com/x",), ("b.org/fr/1",), ("c.net/1",), (None,)], "url string")
+    read = lambda: sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(pages, listed).collect())
+    once = read()
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", 0)
+    assert read() == once
+    assert [v for _, _, v in once][:6] == ["block", "allow", "block", "allow", "allow", "allow"]
+
+
+def test_mixing_without_ids_spreads_over_ranges(spark):
+    texts = sentences(300, seed=5)
+    rows = spark.createDataFrame([(None, t, "en", "a", None) for t in texts], SCHEMA)
+    taken = lambda df: sorted((r.doc.text, r.taken) for r in mixing.mix(df).collect())
+    got = taken(rows)
+    assert len(got) == 300 and got == taken(rows.repartition(3))
+    assert abs(sum(n for _, n in got) - 1.5 * 300 * 40) <= 80
+    assert {n for _, n in got} == {40, 80}
