@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm import bpe, langid, media, minhash_dedup, mixing, pseudo_likelihood, quality, suffix_dedup, toxicity, urls
+from plexgraph.llm import alignment, bpe, hard_negatives, langid, media, minhash_dedup, mixing, pseudo_likelihood, quality, suffix_dedup, toxicity, urls
+from plexgraph.llm.runtime import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,13 +78,27 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(docs, network).select("doc_id", "n_words", "pll", "mean_pll")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    rows = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = stored(rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", groups.alias("groups_sha256"), "pairs", "links"), "aligned")
+    counted = alignment.with_counts(rows, stored(alignment.pair_counts(rows), "pair-counts"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, number = F.col("label").cast("long"), F.col("vec_id")
+    label = F.when(number % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_bpe, op3_toxicity, op4_language_id, op5_mixing, op6_media, op7_url_filter, op8_suffix_dedup, op9_quality, op10_pseudo_likelihood, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_bpe, op3_toxicity, op4_language_id, op5_mixing, op6_media, op7_url_filter, op8_suffix_dedup, op9_quality, op10_pseudo_likelihood, op12_alignment, op13_hard_negatives, pipeline)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _PUNCTUATION = "'" + quality.PUNCTUATION.replace("'", "''") + "'"
@@ -138,4 +153,17 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and word_chars / n_words between 1.5 and 25 and n_symbols / word_chars <= 0.1 and (n_stop / n_words >= 0.06 or n_words < 20)
     and (n_lines = 0 or (n_dup_lines / n_lines <= 0.5 and bullets / n_lines <= 0.9 and ellipses / n_lines <= 0.3 and (short / n_lines <= 0.8 or n_words < 20))) as kept
 from measured""",
+    "op13_hard_negatives": f"""
+with part as (
+  select row_number() over () as k, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label, list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.k as a_k, a.vec_id as anchor_id, a.label = b.label as same, b.k as b_k, b.vec_id as id, list_dot_product(a.v, b.v)::bigint as score
+  from part a join part b on a.k <> b.k and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+best as (select * from scored where same qualify row_number() over (partition by a_k order by score desc, id nulls last, b_k) <= {hard_negatives.POSITIVES}),
+fit as (
+  select p.a_k, p.anchor_id, p.b_k, p.id as positive_id, p.score as positive_score, n.id as negative_id, n.score as negative_score,
+    row_number() over (partition by p.a_k, p.b_k order by n.score desc, n.id nulls last, n.b_k) as rank
+  from best p join scored n on p.a_k = n.a_k and not n.same and {hard_negatives.LOW} * p.score <= 100 * n.score and 100 * n.score <= {hard_negatives.HIGH} * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from fit where rank <= {hard_negatives.NEGATIVES}""",
 }
