@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm import alignment, bpe, hard_negatives, langid, media, minhash_dedup, mixing, pseudo_likelihood, quality, suffix_dedup, toxicity, urls
+from plexgraph.llm import alignment, bpe, factorisation, hard_negatives, langid, media, minhash_dedup, mixing, pseudo_likelihood, quality, suffix_dedup, toxicity, urls
 from plexgraph.llm.runtime import stored
 
 
@@ -78,6 +78,14 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(docs, network).select("doc_id", "n_words", "pll", "mean_pll")
 
 
+def op11_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    machine = factorisation.fit(docs, labels.where(~toxicity.held_out()))
+    rows = factorisation.score(docs, machine)
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
     rows = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -98,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_bpe, op3_toxicity, op4_language_id, op5_mixing, op6_media, op7_url_filter, op8_suffix_dedup, op9_quality, op10_pseudo_likelihood, op12_alignment, op13_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_bpe, op3_toxicity, op4_language_id, op5_mixing, op6_media, op7_url_filter, op8_suffix_dedup, op9_quality, op10_pseudo_likelihood, op11_factorisation, op12_alignment, op13_hard_negatives, pipeline)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _PUNCTUATION = "'" + quality.PUNCTUATION.replace("'", "''") + "'"
