@@ -61,19 +61,19 @@ ways as (from customers union all from orders_ union all from parts union all fr
 best as (select * from ways qualify row_number() over (partition by id order by cost, path) = 1)"""
 
 
-@query(_WAYS + " select id, cost, array_to_string(list_transform(path, x -> x::bigint), ',') as path from best union all select 0, 0.0, '0'")
+@query(_WAYS + " select id, cost, array_to_string(list_transform(path, lambda x: x::bigint), ',') as path from best union all select 0, 0.0, '0'")
 def ga4_least_costs(spark, d):
     """Least costs from nation 0 to all that its trade reaches."""
-    return P.least_costs(_trade(spark, d), 0).select("id", "cost", F.array_join(c("path").cast("array<string>"), ",").alias("path"))
+    return P.least_costs(_trade(spark, d), 0, delta=250_000.0).select("id", "cost", F.array_join(c("path").cast("array<string>"), ",").alias("path"))
 
 
-@query(_WAYS + " select 0::bigint as source, id as target, cost as total_cost, array_to_string(list_transform(path, x -> x::bigint), ',') as node_ids, array_to_string(list_transform(costs, x -> x::bigint), ',') as costs from best where id = (select max(id) from suppliers)")
+@query(_WAYS + " select 0::bigint as source, id as target, cost as total_cost, array_to_string(list_transform(path, lambda x: x::bigint), ',') as node_ids, array_to_string(list_transform(costs, lambda x: x::bigint), ',') as costs from best where id = (select max(id) from suppliers)")
 def ga4_point_to_point(spark, d):
     """The least costly way from nation 0 to the last supplier that its trade reaches."""
     lines, orders, buyers = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer").where("c_nationkey = 0")
     bought = lines.join(orders.join(buyers, c("o_custkey") == c("c_custkey"), "left_semi"), c("l_orderkey") == c("o_orderkey"), "left_semi").select("l_partkey")
     last = lines.join(bought, "l_partkey", "left_semi").agg(F.max("l_suppkey")).first()[0]
-    rows = P.least_cost_path(_trade(spark, d), 0, _KINDS["supplier"] + (last or 0))
+    rows = P.least_cost_path(_trade(spark, d), 0, _KINDS["supplier"] + (last or 0), delta=250_000.0)
     text = lambda x, kind: F.array_join(c(x).cast(kind).cast("array<string>"), ",").alias(x)
     return rows.select(c("source").cast("long"), "target", "total_cost", text("node_ids", "array<long>"), text("costs", "array<long>"))
 
