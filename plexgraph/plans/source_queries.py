@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plexgraph.plans.queries import query
 from plexgraph.plans.tables import table
-from plexgraph.sources import inclusion
+from plexgraph.sources import documents, inclusion
 
 c = F.col
 
@@ -53,3 +53,48 @@ def _foreign_keys_sql() -> str:
 def sa1_foreign_keys(spark, d):
     """The foreign keys of the tables, found by their values and names."""
     return inclusion.foreign_keys(inclusion.inclusions(_star(spark, d)))
+
+
+def _order_documents(spark, d):
+    """Orders as JSON documents with their buyer and lines: a status only where it is O, a total that is a text in every tenth, a buyer's balance only where it is positive."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(c("l_linenumber").alias("number"), c("l_partkey").alias("part"), c("l_quantity").cast("int").alias("pieces"), F.when(c("l_tax") > 0.05, c("l_tax")).alias("tax")))).alias("lines"))
+    buyer = table(spark, d, "customer").select(c("c_custkey").alias("o_custkey"), F.struct(c("c_name").alias("name"), F.when(c("c_acctbal") > 0, c("c_acctbal")).alias("balance"), F.struct(c("c_nationkey").alias("nation")).alias("home")).alias("buyer"))
+    rows = table(spark, d, "orders").join(buyer, "o_custkey", "left").join(lines, c("l_orderkey") == c("o_orderkey"), "left")
+    as_text = F.to_json(F.struct(c("o_orderkey").alias("_id"), F.when(c("o_orderstatus") == "O", c("o_orderstatus")).alias("status"), F.when(c("o_orderkey") % 10 == 0, "none").alias("note"), c("o_orderkey").alias("total"), "buyer", "lines"))
+    mixed = F.when(c("o_orderkey") % 10 == 0, F.regexp_replace(as_text, '"total":(\\d+)', '"total":"$1"')).otherwise(as_text)
+    return documents.as_documents(rows.select(mixed.alias("value")))
+
+
+_ORDERS = """with o as (select o_orderkey as k, o_orderstatus as s, c_custkey as b, c_acctbal as a from orders left join customer on c_custkey = o_custkey),
+l as (select lineitem.* from lineitem join orders on o_orderkey = l_orderkey)"""
+
+
+@query(_ORDERS + """, t as (select 'orders' as "table", '_id' as field, 'int' as type, count(*) as n, count(*) as documents from o
+union all select 'orders', 'status', 'string', count(*) filter (where s = 'O'), count(*) from o
+union all select 'orders', 'note', 'string', count(*) filter (where k % 10 = 0), count(*) from o
+union all select 'orders', 'total', 'string', count(*), count(*) from o
+union all select 'orders_buyer', 'name', 'string', count(*), count(*) from o where b is not null
+union all select 'orders_buyer', 'balance', 'double', count(*) filter (where a > 0), count(*) from o where b is not null
+union all select 'orders_buyer_home', 'nation', 'int', count(*), count(*) from o where b is not null
+union all select 'orders_lines', 'number', 'int', count(*), count(*) from l
+union all select 'orders_lines', 'part', 'int', count(*), count(*) from l
+union all select 'orders_lines', 'pieces', 'int', count(*), count(*) from l
+union all select 'orders_lines', 'tax', 'double', count(*) filter (where l_tax > 0.05), count(*) from l)
+select "table", field, type, n < documents as nullable, n, documents from t where n > 0""")
+def s7_document_types(spark, d):
+    """Tables, fields and types of orders as documents."""
+    return documents.field_types(_order_documents(spark, d), "orders")
+
+
+@query("select o_orderkey as orders_id, l_linenumber::bigint as number, l_partkey as part, l_quantity::int::bigint as pieces, case when l_tax > 0.05 then l_tax end as tax from lineitem join orders on o_orderkey = l_orderkey")
+def s11_document_tables(spark, d):
+    """The lines within orders as documents, as a typed table."""
+    docs = _order_documents(spark, d)
+    return documents.document_tables(docs, "orders", documents.field_types(docs, "orders").collect())["orders_lines"]
+
+
+@query("""select 'events' as "table", 'k' as field, count(*) as documents, count(*) - count(props ->> '$.k') as null_count, count(distinct props ->> '$.k') as distinct_count, min(props ->> '$.k') as min, max(props ->> '$.k') as max, case when count(distinct props ->> '$.k') <= 200 then array_to_string(list_sort(list(distinct props ->> '$.k')), ',') else '' end as values from events where json_type(try_cast(props as json)) = 'OBJECT'""")
+def pr10_document_profile(spark, d):
+    """A profile of the events' properties."""
+    rows = documents.profile(documents.as_documents(table(spark, d, "events"), "props"), "events", 200)
+    return rows.withColumn("values", F.array_join("values", ","))
