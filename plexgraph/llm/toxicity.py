@@ -1,28 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models are smoothed level by level with one absolute discount D =
-DISCOUNT, one model for toxic and one for ordinary documents. With c_k and c the
-counts of a pair in the class and in both classes, N_k and N the numbers of distinct
-contexts of a word in the class and in both, and left(...) what the discount takes
-from a level, which is min(count, D) summed:
-
-  p(w | v)   = (max(c_k(v, w) - D, 0) + left * both(w | v)) / c_k(v)
-  both(w | v) = (max(c(v, w) - D, 0) + left * p1(w)) / c(v)      counts shared by the classes
-  p1(w)      = (max(N_k(w) - D, 0) + left * p0(w)) / sum of N_k
-  p0(w)      = (N(w) + 1) / (sum of N + words + 1)               counts shared by the classes
-
-So an expression of at most D occurrences backs off to counts that both models
-share, and tells nothing by itself; a passage copied many times is as likely under
-both. One unseen word is part of the vocabulary, and each level adds up to 1. A text
-is judged by the difference of the two log-likelihoods, divided by the length: that
-of the whole text, and that of its most toxic passage of WINDOW words. A logistic
-function of the two, fitted on labelled texts that weren't counted, is the score.
-
-The models are fitted on a bounded sample: of either class the TRAIN_DOCS / 2
-labelled documents least by the hash of their id; each third one calibrates. Scoring
-covers every whole text.
-
-Cases: a null or empty text, or one without words, has the ratio 0. Documents of
+An expression is a word, read byte by byte: a symbol is a byte or the word's end, and
+its context the ORDER - 1 symbols before it, padded where the word begins. One model of
+toxic and one of ordinary documents are interpolated Kneser-Ney models whose backoff
+counts they share. With c_k the counts of a symbol in its context in class k, c those of
+both classes, types(...) the distinct symbols of a context, and shorter(v) a context
+without its first symbol:
+
+  p_k(s | v)   = (max(c_k(v s) - D_k, 0) + D_k types_k(v) both(s | v)) / c_k(v)
+  both(s | v)  = (max(c(v s) - D, 0) + D types(v) lower(s | shorter(v))) / c(v)
+  lower(s | v) = the same over continuation counts (in how many longer contexts v s is
+                 seen), down to no context, and last the same for all 257 symbols
+
+A level's discount follows from its counts of counts, n1 / (n1 + 2 n2), and lies between
+0 and 1 (0.75 where either is missing). So a symbol that a class hasn't seen in a
+context has what the class's discounts leave, dealt out as both classes together use
+it, and a context that a class has never seen tells nothing. A text's features are the
+difference of the two log-likelihoods divided by the number of its words, and the
+difference of its most toxic word; a logistic function of both, with weights of 0 or
+more, is the score.
+
+The models are fitted on a bounded sample: of either class the TRAIN_DOCS / 2 labelled
+documents least by the hash of their id, each third of which calibrates; of the others
+those whose bytes come to TRAIN_BYTES a class, none longer than an eighth of that. Tasks
+count the words; a model has at most one entry a byte of the sample, and is broadcast
+under that bound. Calibration weighs the classes by their shares of all labelled rows.
+Scoring covers every whole text; each distinct word of a block is scored once.
+
+Cases: a null or empty text, or one without words, has the features 0. Documents of
 null id or null label aren't learned from but scored; a doc_id with both labels, or
 on several documents, is learned from as often as it occurs. If a class has no
 labelled document, every score is the share of toxic documents in the sample
@@ -33,15 +38,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexgraph.llm.runtime import replaced, stored
 from plexgraph.llm.textvec import LOWER, PLAIN_CHAR, blocks, mix64, span_hashes, string_bytes, words
 
 TRAIN_DOCS = 6000
-DISCOUNT = 20
-WINDOW = 3
+TRAIN_BYTES = 6_000_000
+#: Symbols of a context and the one that follows it.
+ORDER = 10
+END, START, SYMBOLS = 256, 257, 257
+
+_STEP = 0x9E3779B97F4A7C15
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
@@ -49,25 +58,33 @@ def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def _codes(data: np.ndarray, offsets: np.ndarray):
-    """(word, pair with the word before, row) by hashes; the first word of a text follows 0."""
-    data = LOWER[data]
-    start, end, row = words(data, offsets, PLAIN_CHAR)
-    word = span_hashes(data, start, end)
-    before = np.r_[np.uint64(0), word[:-1]] if len(word) else word
-    if len(word):
-        before[np.r_[True, row[1:] != row[:-1]]] = 0
-    return word, before, mix64(before * np.uint64(3) + word), row
+def _symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(symbol, word) of the bytes of some words and of their ends."""
+    size = end - start + 1
+    word = np.repeat(np.arange(len(start)), size)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    last = place == size[word] - 1
+    symbol = np.full(len(word), END, np.int64)
+    symbol[~last] = data[(start[word] + place)[~last]]
+    return symbol, word, place
 
 
-def _pair_counts(batches):
-    for batch in batches:
-        data, offsets = string_bytes(batch.column("text"))
-        toxic = batch.column("toxic").to_numpy()
-        for a, b in blocks(offsets):
-            word, before, _, row = _codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            label = toxic[a + row].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(before.view(np.int64)), pa.array(word.view(np.int64))], ["toxic", "before", "word"])
+def _contexts(symbol: np.ndarray, place: np.ndarray, orders) -> dict[int, np.ndarray]:
+    """Of each symbol the hash of its context, for models of these orders."""
+    total, out = np.zeros(len(symbol), np.uint64), {}
+    for k in range(1, max(orders) + 1):
+        if k > 1:
+            before = np.full(len(symbol), START, np.uint64)
+            inside = np.flatnonzero(place >= k - 1)
+            before[inside] = symbol[inside - (k - 1)]
+            total = total + (before + np.uint64(1)) * np.uint64(pow(_STEP, k - 1, 1 << 64))
+        if k in orders:
+            out[k] = mix64(total + np.uint64(k))
+    return out
+
+
+def _grams(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix64(context * np.uint64(1_000_003) + symbol.astype(np.uint64))
 
 
 def _places(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -79,111 +96,153 @@ def _places(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """Bigrams of one class or of both, absolutely discounted: what a context keeps for its pairs and what it leaves to the backoff."""
-
-    def __init__(self, v: np.ndarray, count: np.ndarray, contexts: int):
-        """v, count: context and count of each distinct pair."""
-        total = np.bincount(v, count, contexts)
+    """Absolutely discounted counts of symbols in contexts: what a context keeps for its symbols and what it leaves to the backoff."""
+
+    def __init__(self, context: np.ndarray, count: np.ndarray):
+        """context, count: of each distinct symbol in a context; one of count 0 isn't seen here."""
+        seen = count > 0
+        once, twice = int((count == 1).sum()), int((count == 2).sum())
+        self.discount = once / (once + 2 * twice) if once and twice else 0.75
+        self.contexts, self.at = np.unique(context, return_inverse=True)
+        total = np.bincount(self.at, count, len(self.contexts))
+        types = np.bincount(self.at[seen], minlength=len(self.contexts))
         self.total = np.maximum(total, 1)
-        self.back = np.where(total > 0, np.bincount(v, np.minimum(count, DISCOUNT), contexts) / self.total, 1.0)
-
-    def probability(self, v: np.ndarray, count: np.ndarray, backoff: np.ndarray) -> np.ndarray:
-        return np.maximum(count - DISCOUNT, 0) / self.total[v] + self.back[v] * backoff
+        self.back = np.where(total > 0, self.discount * types / self.total, 1.0)
 
-
-def continuation(contexts_of: np.ndarray, backoff: np.ndarray) -> np.ndarray:
-    """Probabilities of words by the number of contexts that they follow, discounted."""
-    n = contexts_of.sum()
-    return np.maximum(contexts_of - DISCOUNT, 0) / n + np.minimum(contexts_of, DISCOUNT).sum() / n * backoff if n else backoff
+    def probability(self, count: np.ndarray, backoff: np.ndarray) -> np.ndarray:
+        return np.maximum(count - self.discount, 0) / self.total[self.at] + self.back[self.at] * backoff
 
 
 class Model:
-    """Log-likelihood ratios of the pairs seen, and of words and contexts for the others, as sorted tables of hashes."""
-
-    def __init__(self, toxic: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray):
-        self.words, w = np.unique(word, return_inverse=True)
-        self.contexts, v = np.unique(before, return_inverse=True)
-        self.pairs, first, p = np.unique(mix64(before * np.uint64(3) + word), return_index=True, return_inverse=True)
-        self.pair_word, self.pair_context = w[first], v[first]
-        entries = len(self.words) + 1  # the last for a word not seen
-        uniform = np.bincount(self.pair_word, minlength=entries) + 1.0
-        shared_words = uniform / uniform.sum()
-        counts = np.bincount(p, count, len(self.pairs))
-        shared = Level(self.pair_context, counts, len(self.contexts))
-        self.p1, self.p2, self.back = [], [], []
-        for label in (1, 0):
-            own = toxic == label
-            p1 = continuation(np.bincount(w[own], minlength=entries), shared_words)
-            level = Level(v[own], count[own], len(self.contexts))
-            p2 = shared.probability(self.pair_context, counts, p1[self.pair_word])
-            self.p2.append(level.probability(self.pair_context, np.bincount(p[own], count[own], len(self.pairs)), p2))
-            self.p1.append(p1)
-            self.back.append(level.back * shared.back)  # times p1: the probability of a pair not seen
-        ratio = lambda pair: (np.log(pair[0]) - np.log(pair[1])).astype(np.float32)
-        self.pair_ratio, self.word_ratio, self.context_ratio = ratio(self.p2), ratio(self.p1), np.r_[ratio(self.back), np.float32(0)]
+    """Differences of log-likelihoods of the symbols seen in a context, and of contexts for the others, as sorted tables of hashes."""
+
+    def __init__(self, word: pa.Array, toxic: np.ndarray, n: np.ndarray, order: int = ORDER):
+        """n occurrences of each word in documents of a class."""
+        self.order = order
+        data, offsets = string_bytes(word)
+        symbol, of, place = _symbols(data, offsets[:-1], offsets[1:])
+        contexts = _contexts(symbol, place, range(1, order + 1))
+        self.grams, first, at = np.unique(_grams(contexts[order], symbol), return_index=True, return_inverse=True)
+        counts = [np.bincount(at, np.where(toxic[of] == k, n[of], 0), len(self.grams)) for k in (0, 1)]
+        lower = self._lower({k: v[first] for k, v in contexts.items()}, symbol[first], order)
+        context = contexts[order][first]
+        shared = Level(context, counts[0] + counts[1])
+        both = shared.probability(counts[0] + counts[1], lower)
+        classes = [Level(context, c) for c in counts]
+        self.contexts = shared.contexts
+        ratio = lambda pair: (np.log(pair[1]) - np.log(pair[0])).astype(np.float32)
+        self.gram_ratio = ratio([level.probability(c, both) for level, c in zip(classes, counts, strict=True)])
+        self.context_ratio = np.r_[ratio([level.back for level in classes]), np.float32(0)]
         self.weights = np.zeros(3)
 
+    @staticmethod
+    def _lower(contexts: dict[int, np.ndarray], symbol: np.ndarray, order: int) -> np.ndarray:
+        """The probability of each symbol by the models of continuation counts below an order, from the shortest context up."""
+        chain = []
+        for k in range(order - 1, 0, -1):  # the distinct symbols in shorter contexts, and how many longer ones have each
+            _, first, at = np.unique(_grams(contexts[k], symbol), return_index=True, return_inverse=True)
+            chain.append((at, np.bincount(at), contexts[k][first]))
+            contexts, symbol = {j: v[first] for j, v in contexts.items() if j < k}, symbol[first]
+        p = np.full(len(symbol), 1 / SYMBOLS)
+        for at, count, context in reversed(chain):
+            p = Level(context, count).probability(count, p)[at]
+        return p
+
     def __getstate__(self) -> dict:
-        """What scoring needs, so that broadcasts stay small."""
-        return {k: getattr(self, k) for k in ("pairs", "words", "contexts", "pair_ratio", "word_ratio", "context_ratio", "weights")}
+        """What scoring needs."""
+        return {k: getattr(self, k) for k in ("order", "grams", "contexts", "gram_ratio", "context_ratio", "weights")}
+
+    def word_ratios(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The difference of each word's log-likelihoods under the two models."""
+        symbol, of, place = _symbols(data, start, end)
+        context = _contexts(symbol, place, (self.order,))[self.order]
+        at = _places(self.grams, _grams(context, symbol))
+        ratio = np.r_[self.gram_ratio, np.float32(0)][at].astype(np.float64)
+        new = np.flatnonzero(at == len(self.grams))
+        ratio[new] = self.context_ratio[_places(self.contexts, context[new])]
+        return np.bincount(of, ratio, len(start))
 
     def features(self, text: pa.Array) -> np.ndarray:
-        """(ratio of the log-likelihoods by word, the same of the most toxic passage) of each text."""
+        """(difference of the log-likelihoods by the words, difference of the most toxic word) of each text."""
         data, offsets = string_bytes(text)
         out = np.zeros((len(text), 2))
         for a, b in blocks(offsets):
-            word, before, pair, row = _codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            if not len(word):
+            part = LOWER[data[offsets[a] : offsets[b]]]
+            start, end, row = words(part, offsets[a : b + 1] - offsets[a], PLAIN_CHAR)
+            if not len(row):
                 continue
-            at = _places(self.pairs, pair)
-            ratio = np.r_[self.pair_ratio, np.float32(0)][at]
-            new = np.flatnonzero(at == len(self.pairs))
-            ratio[new] = self.word_ratio[_places(self.words, word[new])] + self.context_ratio[_places(self.contexts, before[new])]
+            _, one, at = np.unique(span_hashes(part, start, end), return_index=True, return_inverse=True)
+            ratio = self.word_ratios(part, start[one], end[one])[at]
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            size = np.diff(np.r_[first, len(row)])
-            total = np.add.reduceat(ratio.astype(np.float64), first)
-            sums = np.r_[0.0, np.cumsum(ratio, dtype=np.float64)]
-            end = np.minimum(np.arange(len(row)) + WINDOW, np.repeat(first + size, size))
-            passage = np.maximum.reduceat((sums[end] - sums[:-1]) / WINDOW, first)
-            out[a + row[first]] = np.stack([total / size, passage], 1)
+            out[a + row[first]] = np.stack([np.add.reduceat(ratio, first) / np.diff(np.r_[first, len(row)]), np.maximum.reduceat(ratio, first)], 1)
         return out
 
-    def calibrate(self, features: np.ndarray, toxic: np.ndarray) -> None:
-        x = np.c_[features, np.ones(len(features))]
-        w = np.zeros(3)
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            slope = x.T @ (p - toxic) + 1e-2 * np.r_[w[:2], 0]
-            bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-            w -= np.linalg.solve(bend, slope)
-        self.weights = w
+    def calibrate(self, features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
+        """A logistic function of the features; a feature whose weight came out below 0 is left out."""
+        used = [0, 1]
+        while True:
+            x = np.c_[features[:, used], np.ones(len(features))]
+            w = np.zeros(x.shape[1])
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                slope = x.T @ (weight * (p - toxic)) + 1e-2 * np.r_[w[:-1], 0]
+                bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+                w -= np.linalg.solve(bend, slope)
+            kept = [k for k, v in zip(used, w, strict=False) if v >= 0]
+            if kept == used:
+                break
+            used = kept
+        self.weights = np.zeros(3)
+        self.weights[[*used, 2]] = w
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.c_[features, np.ones(len(features))] @ self.weights, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | float:
+def _word_counts(batches):
+    """(toxic, word) of each word of some texts."""
+    for batch in batches:
+        data, offsets = string_bytes(batch.column("text"))
+        toxic = batch.column("toxic").to_numpy()
+        for a, b in blocks(offsets):
+            part = LOWER[data[offsets[a] : offsets[b]]]
+            start, end, row = words(part, offsets[a : b + 1] - offsets[a], PLAIN_CHAR)
+            size = end - start
+            at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            ends = pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes())
+            word = pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(part[at].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(toxic[a + row].astype(np.int32)), word], ["toxic", "word"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model | float:
     """A model of docs (doc_id, text) and labels (doc_id, toxic), or the share of toxic rows where a class is missing.
 
     The sample is chosen among the labels alone, so that it can be broadcast to
     the documents (train_docs rows at most) and no text is shuffled.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    totals = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     alike = [labels.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2) for label in (0, 1)]
     chosen = F.broadcast(alike[0].unionByName(alike[1]))
-    rows = stored(docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id"), "labelled")
+    found = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").withColumn("row", F.monotonically_increasing_id())
+    rows = stored(found, "labelled")
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
-    counts = rows.where(~calibrates).select("text", "toxic").mapInArrow(_pair_counts, "toxic int, before long, word long")
-    table = counts.groupBy("toxic", "before", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    toxic, before, word, n = (table.column(c).to_numpy() for c in ("toxic", "before", "word", "n"))
-    rest = rows.where(calibrates).select("text", "toxic")
+    sizes = rows.where(~calibrates).select("row", "doc_id", "toxic", F.octet_length("text").cast("long").alias("size")).where(F.col("size") <= train_bytes // 8)
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
+    learned = sizes.withColumn("upto", upto).where(F.col("upto") <= train_bytes).select("row")  # of at most train_docs rows
+    counts = rows.join(F.broadcast(learned), "row", "left_semi").select("text", "toxic").mapInArrow(_word_counts, "toxic int, word binary")
+    table = counts.groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n")).toArrow().combine_chunks()  # of at most 2 * train_bytes
+    toxic, n = table.column("toxic").to_numpy(), table.column("n").to_numpy()
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     if not 0 < share < 1 or len(np.unique(toxic)) < 2:
         return float(share)
-    model = Model(toxic, before.view(np.uint64), word.view(np.uint64), n)
+    model = Model(table.column("word").combine_chunks(), toxic, n)
+    rest = rows.where(calibrates).select("toxic", "text")
     held = rest.select("toxic", _feature_column(rest.sparkSession.sparkContext.broadcast(model))("text").alias("x")).toArrow()
     if len(held):
-        model.calibrate(np.array(held.column("x").to_pylist()), held.column("toxic").to_numpy())
+        label = held.column("toxic").to_numpy()
+        weights = np.array([totals[k] / sum(totals.values()) / max(np.mean(label == k), 1e-9) for k in (0, 1)])
+        model.calibrate(np.array(held.column("x").to_pylist()), label, weights[label])
     return model
 
 

@@ -12,29 +12,82 @@ from plexgraph.llm import bpe, langid, media, minhash_dedup, mixing, pseudo_like
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def test_kneser_ney_adds_up_to_one(monkeypatch):
-    monkeypatch.setattr(toxicity, "DISCOUNT", 2)
-    rng = np.random.default_rng(3)
-    rows = Counter(zip(rng.integers(0, 2, 900).tolist(), rng.integers(1, 9, 900).tolist(), (10 + rng.integers(0, 12, 900)).tolist()))
-    toxic, before, word = (np.array([k[i] for k in rows]) for i in range(3))
-    spread = lambda x: toxicity.mix64(x.astype(np.uint64))  # noqa: E731 - words are hashes
-    model = toxicity.Model(toxic, spread(before), spread(word), np.array(list(rows.values())))
-    for k in (0, 1):
-        assert model.p1[k].sum() == pytest.approx(1)
-        for v in range(len(model.contexts)):
-            seen = model.pair_context == v
-            unseen = np.setdiff1d(np.arange(len(model.p1[k])), model.pair_word[seen])
-            assert model.p2[k][seen].sum() + model.back[k][v] * model.p1[k][unseen].sum() == pytest.approx(1)
-
-
-def test_toxicity_ratio_of_a_text_is_that_of_its_pairs():
-    docs = ["vile rot here", "good day here", "vile rot vile rot", "good day good day"] * 30
-    batch = pa.record_batch([pa.array(docs), pa.array([1, 0, 1, 0] * 30)], ["text", "toxic"])
-    counted = Counter(k for b in toxicity._pair_counts(iter([batch])) for k in zip(*(b.column(c).to_pylist() for c in ("toxic", "before", "word"))))
-    keys = np.array(list(counted))
-    model = toxicity.Model(keys[:, 0], keys[:, 1].view(np.uint64), keys[:, 2].view(np.uint64), np.array(list(counted.values())))
-    found = model.features(pa.array(["vile rot", "good day", "", None, "unknown"]))
-    assert found[0, 0] > 0.5 > -0.5 > found[1, 0] and (found[2:4] == 0).all() and abs(found[4, 0]) < found[0, 0]
+class PlainKneserNey:
+    """Probabilities of symbols in contexts by the recursion, from counts in dictionaries."""
+
+    def __init__(self, words, order):
+        self.order, self.top = order, [Counter(), Counter()]
+        for word, toxic, n in words:
+            symbols = [*word.encode(), toxicity.END]
+            for i, s in enumerate(symbols):
+                self.top[toxic][(*[toxicity.START] * max(order - 1 - i, 0), *symbols[max(i - order + 1, 0) : i], s)] += n
+        self.levels, grams = {}, set(self.top[0] + self.top[1])
+        for k in range(order - 1, 0, -1):
+            self.levels[k] = Counter(g[1:] for g in grams)
+            grams = set(self.levels[k])
+
+    @staticmethod
+    def one(counts, gram, backoff):
+        own = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        d = once / (once + 2 * twice) if once and twice else 0.75
+        assert 0 < d < 1
+        return (max(counts.get(gram, 0) - d, 0) + d * len(own) * backoff) / sum(own.values()) if own else backoff
+
+    def shared(self, gram):
+        p = 1 / toxicity.SYMBOLS
+        for k in range(1, self.order):
+            p = self.one(self.levels[k], gram[-k:], p)
+        return self.one(self.top[0] + self.top[1], gram, p)
+
+    def p(self, toxic, gram):
+        return self.one(self.top[toxic], gram, self.shared(gram))
+
+    def ratio(self, word):
+        symbols = [*word.encode(), toxicity.END]
+        grams = [(*[toxicity.START] * max(self.order - 1 - i, 0), *symbols[max(i - self.order + 1, 0) : i], s) for i, s in enumerate(symbols)]
+        return sum(np.log(self.p(1, g)) - np.log(self.p(0, g)) for g in grams)
+
+
+KN_WORDS = [("vile", 1, 4), ("vile", 0, 1), ("rot", 1, 2), ("rotten", 1, 1), ("good", 0, 5), ("gold", 0, 2), ("goat", 1, 1), ("day", 0, 3), ("day", 1, 3), ("é", 0, 1), ("vilest", 1, 1)]
+
+
+def kn_model(order):
+    word = pa.array([w.encode() for w, _, _ in KN_WORDS], pa.binary())
+    return toxicity.Model(word, np.array([t for _, t, _ in KN_WORDS]), np.array([n for _, _, n in KN_WORDS]), order), PlainKneserNey(KN_WORDS, order)
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_kneser_ney_adds_up_to_one(order):
+    _, plain = kn_model(order)
+    for context in [g[:-1] for g in list(plain.top[1] + plain.top[0])[::5]] + [(1,) * (order - 1)]:
+        for k in (0, 1):
+            assert sum(plain.p(k, (*context, s)) for s in range(toxicity.SYMBOLS)) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_toxicity_features_recomputed_word_by_word(order):
+    model, plain = kn_model(order)
+    texts = ["Vile rot, GOOD day", "good", "", None, "unknown viles! é", "day day vile"]
+    found = model.features(pa.array(texts))
+    for text, row in zip(texts, found, strict=True):
+        each = [plain.ratio(w.lower()) for w in (text or "").replace(",", " ").replace("!", " ").split()]
+        assert row == pytest.approx([sum(each) / len(each), max(each)] if each else [0, 0], abs=1e-5)
+    model.calibrate(found[[0, 1, 4, 5]], np.array([1, 0, 1, 1]), np.ones(4))
+    assert (model.weights[:2] >= 0).all()
+    assert model.score(found) == pytest.approx([1 / (1 + np.exp(-(x @ model.weights[:2] + model.weights[2]))) for x in found])
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.7), ("sf0.1", 0.8)])
+def test_toxicity_of_the_tables_held_out(spark, sf, least):
+    d = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    rows = toxicity.score(docs.where(toxicity.held_out()), model).select("toxic", "score").collect()
+    bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    assert sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good)) >= least
+    assert (model.weights[:2] >= 0).all() and model.weights[0] + model.weights[1] > 0
 
 
 def test_forward_backward_against_all_labellings():

@@ -198,7 +198,8 @@ def test_each_word_is_a_target_of_training():
 
     import pyarrow as pa
 
-    network = pseudo_likelihood.Network(np.zeros(0, np.uint64))
+    none = np.zeros(0, np.int64)
+    network = pseudo_likelihood.Network(pseudo_likelihood.Vocabulary(np.zeros(0, np.uint64), none, np.zeros(64, np.int64), np.zeros(64, np.int64)))
     texts = [*sentences(30, 8, 50), "one", "", "a b c"]
     learned = list(pseudo_likelihood._training(SimpleNamespace(value=network))(iter([pa.record_batch([pa.array(texts)], ["text"])])))
     assert {w for batch in learned for w in batch.column("weight").to_pylist()} == {30 * 50 + 4.0}
