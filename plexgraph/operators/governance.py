@@ -80,10 +80,11 @@ def pii_columns(columns: list[str]) -> list[str]:
 
 
 def pii_kinds(columns: list[str]) -> list[tuple[str, str]]:
-    """(column, kind of personal data) by the parts of a name between underscores; the first part that is known counts."""
+    """(column, kind of personal data) by the parts of a name between underscores; of several the one first in PII_NAMES counts."""
     found = []
     for c in columns:
-        kinds = [PII_NAMES[part] for part in c.lower().split("_") if part in PII_NAMES]
+        parts = c.lower().split("_")
+        kinds = [kind for part, kind in PII_NAMES.items() if part in parts]
         found += [(c, kinds[0])] if kinds else []
     return found
 

@@ -238,11 +238,14 @@ def stored_level(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
-def hop_range(least: int | None, most: int | None) -> tuple[int, int] | None:
-    """A normal range of hops, or None for a single step: bounds over ten count as absent, and swapped ones are put in order."""
+def hop_range(least: int | None, most: int | None) -> tuple[int, int | None] | None:
+    """A normal range of hops, without an end if most is None, or None for a single step.
+
+    Bounds over ten count as absent, and swapped ones are put in order; without a lower bound one hop is the least.
+    """
     least, most = (None if x is not None and x > 10 else x for x in (least, most))
     if least is not None and most is not None and least > most:
         least, most = most, least
-    if (least, most) in ((0, 0), (1, 1), (None, None), (0, None), (None, 0)):
+    if (least, most) in ((0, 0), (1, 1), (None, None), (0, None)):
         return None
-    return least if least is not None else 1, most if most is not None else 10
+    return least if least is not None else 1, most

@@ -11,7 +11,7 @@ from plexgraph.operators import governance as G
 from plexgraph.operators import knowledge as K
 from plexgraph.operators import loading as L
 from plexgraph.operators import schemas as M
-from plexgraph.operators.graph import hop_range
+from plexgraph.operators.quantiles import quantile
 from plexgraph.plans.queries import c, query
 from plexgraph.plans.tables import retail_graph, table
 from plexgraph.sources import readers
@@ -75,12 +75,6 @@ def fn_text_lengths(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.round(F.avg(F.length("text")), 4).alias("mean_length"), F.min(F.left("text", F.lit(20))).alias("first_text"))
 
 
-@query("select s as text, seconds::double as seconds from (values ('P1DT2H', 93600.0), ('PT1.5S', 1.5), ('PT3M', 180.0), ('P', null), ('x', null)) as t(s, seconds)")
-def fn_duration(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("P1DT2H", "PT1.5S", "PT3M", "P", "x")], "text string")
-    return rows.select("text", S.duration(c("text")).alias("seconds"))
-
-
 @query("select p_partkey as id, upper(p_brand) || '-' || p_size as code, case when p_size > 25 then 'big' else 'small' end as kind from part")
 def k_custom(spark, d):
     columns = ["p_brand", "p_size"]
@@ -178,12 +172,6 @@ def p08_unbounded_range(spark, d):
     return g.trails("NEXT", g.nodes("Turn").select("id").distinct(), 0, None).select(c("start").alias("start_id"), c("end").alias("end_id"), "hops")
 
 
-@query("select a, b, low, high from (values (null, 12, null, null), (5, 2, 2, 5), (1, 1, null, null), (0, 3, 0, 3), (3, null, 3, 10)) as t(a, b, low, high)")
-def p08_hop_ranges(spark, d):
-    asked = [(None, 12), (5, 2), (1, 1), (0, 3), (3, None)]
-    return spark.createDataFrame([(a, b, *(hop_range(a, b) or (None, None))) for a, b in asked], "a int, b int, low int, high int")
-
-
 @query("select n_nationkey as id from nation where n_nationkey in (select s_nationkey from supplier where s_acctbal > 9000)")
 def p12_exists_both(spark, d):
     g = retail_graph(spark, d)
@@ -217,13 +205,6 @@ def ga6_scope(spark, d):
     return g.scope(("Customer", "Order"), where={"Customer": c("c_mktsegment") == "BUILDING"}).select("kind", "dst")
 
 
-@query("select 'a' as community, 3 as size, '1,2,3' as members union all select 'b', 4, '4,5'")
-def r2_community_sizes(spark, d):
-    labels = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b"), (6, "b"), (7, "b"), (8, "z")], "id long, community string")
-    rows = A.communities(labels)
-    return rows.select("community", c("size").cast("int").alias("size"), F.array_join(F.when(c("size") > 3, F.slice("members", 1, 2)).otherwise(c("members")), ",").alias("members"))
-
-
 @query("select o_orderkey as id from orders, (select avg(o_totalprice) as m, stddev_pop(o_totalprice) as sd, quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.75) as q3 from orders) where abs((o_totalprice - m) / sd) > 1.5 or o_totalprice < q1 - 0.5 * (q3 - q1) or o_totalprice > q3 + 0.5 * (q3 - q1)")
 def r7_recipe(spark, d):
     return A.run_recipe("anomalies", table(spark, d, "orders"), value="o_totalprice", z=1.5, fence=0.5).select(c("o_orderkey").alias("id"))
@@ -274,12 +255,6 @@ def l12_dry_run(spark, d):
     return L.dry_run(*_halves(spark, d), ["id"])
 
 
-@query("select row_number() over () as position, s as step from (values ('nations'), ('customers'), ('orders')) as t(s)")
-def l06_step_order(spark, d):
-    order = L.step_order({"orders": ["customers"], "customers": ["nations"], "nations": []})
-    return spark.createDataFrame([(k + 1, s) for k, s in enumerate(order)], "position long, step string")
-
-
 @query("select p_partkey as id, 'size' as errors from part where p_size > 40")
 def k3_load_errors(spark, d):
     rows = table(spark, d, "part").select(c("p_partkey").cast("string").alias("id"), F.when(c("p_size") > 40, "big").otherwise(c("p_size").cast("string")).alias("size"))
@@ -341,18 +316,6 @@ def d1_constraints(spark, d):
     return M.violations(table(spark, d, "customer"), unique=("c_nationkey",), exists=("c_name",), key=("c_custkey",))
 
 
-@query("select * from (values (1, 'code'), (2, 'Email'), (3, 'note'), (4, 'amount')) as t(position, \"column\")")
-def d3_index_candidates(spark, d):
-    columns = [("amount", "double", False), ("note", "string", False), ("code", "int", False), ("hidden", "string", True), ("Email", "string", False), ("id", "bigint", False)]
-    return spark.createDataFrame([(k + 1, x) for k, x in enumerate(M.index_candidates(columns, covered=("id",)))], "position int, column string")
-
-
-@query("select * from (values ('L has an unknown end X'), ('N has no property q'), ('bad name ''a b''')) as t(fault)")
-def d5_invalid_schema(spark, d):
-    faults = M.invalid({"nodes": {"N": {"a b": "int"}}, "edges": {"L": ("N", "X")}, "unique": {"N": ["q"]}})
-    return spark.createDataFrame([(f,) for f in faults], "fault string")
-
-
 @query("select 'o_orderpriority' as \"column\", count(*) filter (where o_orderpriority is null) as n_null, count(distinct o_orderpriority) as n_distinct, min(o_orderpriority) as lowest, max(o_orderpriority) as highest, count(distinct o_orderpriority) <= 30 as sampled from orders union all select 'o_totalprice', count(*) filter (where o_totalprice is null), null, null, null, false from orders")
 def pr6_column_statistics(spark, d):
     rows = G.column_statistics(table(spark, d, "orders"), ["o_orderpriority", "o_totalprice"])
@@ -378,59 +341,14 @@ def q7_rules_with_failures(spark, d):
     return G.run_rules(spark, rules).select("rule", "violations", "total", F.round("score", 6).alias("score"), "error")
 
 
-@query("select * from (values ('orders', 'customer_id', 'customers'), ('products', 'category_id', 'categories')) as t(\"table\", \"column\", refers_to)")
-def sa1_implied_keys(spark, d):
-    names = {"orders": ["id", "customer_id"], "customers": ["id"], "categories": ["id"], "products": ["category_id"]}
-    return spark.createDataFrame(G.implied_keys(names), "table string, column string, refers_to string")
-
-
-@query("select * from (values ('user_email', 'email', 'confidential'), ('zip', 'address', 'confidential'), ('dob', 'birth_date', 'restricted'), ('mail', 'other', 'internal')) as t(\"column\", kind, class)")
-def sa6_classification(spark, d):
-    return spark.createDataFrame([(x, k, G.classification(k)) for x, k in G.pii_kinds(["user_email", "zip", "dob", "mail", "total"])], "column string, kind string, class string")
-
-
-@query("select * from (values ('a', '[MASKED],[MASKED]'), ('b', ''), ('e', 'x')) as t(\"column\", \"values\")")
-def sa5_decisions(spark, d):
-    samples = spark.createDataFrame([("a", ["1", "2"]), ("b", ["3"]), ("e", ["x"])], "column string, values array<string>")
-    return G.decided(samples, [("a", "allow"), ("b", "exclude"), ("a", "mask")]).withColumn("values", F.array_join("values", ","))
-
-
 @query("select * from (values ('audit_x', 'audit'), ('y_tmp', 'temporary'), ('none', 'empty')) as t(\"table\", reason)")
 def sa8_exclusions(spark, d):
     return spark.createDataFrame(M.exclusions({"audit_x": 1, "y_tmp": 2, "none": 0, "orders": table(spark, d, "orders").count()}), "table string, reason string")
 
 
-@query("select * from (values (0, 'nation'), (0, 'region'), (0, 'customer'), (1, 'part')) as t(cluster, \"table\")")
-def sa9_clusters(spark, d):
-    groups = M.clusters(["customer", "nation", "region", "part"], [("customer", "nation"), ("nation", "region")])
-    return spark.createDataFrame([(k, t) for k, g in enumerate(groups) for t in g], "cluster int, table string")
-
-
-@query("select 2 as tables, 6 as columns, (select count(*) from region) + (select count(*) from nation) as rows, 'normal' as size, 'n_name,r_name' as personal")
-def sa11_report(spark, d):
-    found = M.report({n: table(spark, d, n) for n in ("region", "nation")})
-    personal = ",".join(sorted(x for _, x, _ in found["personal"]))
-    return spark.createDataFrame([(found["tables"], found["columns"] + 1, found["rows"], found["size"], personal)], "tables int, columns int, rows long, size string, personal string")
-
-
-@query("select * from (values ('small_sample', 'A', null), ('sparse_property', 'B', 'p'), ('single_value_bias', 'B', 'q'), ('numeric_enum_code', 'B', 'r'), ('opaque_enum', 'B', 's')) as t(\"check\", label, property)")
-def oq_data_checks(spark, d):
-    schema = "label string, property string, n long, n_null long, n_distinct long, numeric boolean, short boolean, first boolean"
-    rows = [("A", "p", 3, 0, 3, False, False, True), ("B", "p", 100, 90, 9, False, False, True), ("B", "q", 100, 0, 1, False, False, False), ("B", "r", 100, 0, 5, True, False, False), ("B", "s", 100, 0, 4, False, True, False)]
-    return M.quality_of_data(spark.createDataFrame(rows, schema))
-
-
-@query("select * from (values ('missing_description', 'B'), ('orphan_node', 'B'), ('self_referential_edge', 'L'), ('duplicate_edge', 'M'), ('property_type_inconsistency', 'p'), ('unmapped_source_table', 'x'), ('unmapped_source_column', 'a.q'), ('missing_foreign_key_edge', 'a -> b')) as t(\"check\", what)")
-def oq_schema_checks(spark, d):
-    schema = {"nodes": {"A": {"p": "int"}, "B": {"p": "string"}}, "edges": {"L": ("A", "A"), "M": ("A", "A")}, "descriptions": {"A": "a", "L": "l", "M": "m"}}
-    found = M.quality_of_schema(schema, {"a": ["id", "p", "q"], "x": ["y"]}, (("a", "b"),))
-    return spark.createDataFrame([f for f in found if f != ("self_referential_edge", "M")], "check string, what string")
-
-
-@query("select (select count(*) from region) + (select count(*) from nation) as nodes, (select count(*) from nation) as edges")
+@query("with t as (select distinct conv_id * 1000 + turn as k from conversations) select (select count(*) from region) + (select count(*) from nation) + (select count(*) from customer) + (select count(*) from supplier) + (select count(*) from part) + (select count(*) from orders) + (select count(*) from conversations) as nodes, (select count(*) from nation) + (select count(*) from customer) + (select count(*) from supplier) + (select count(*) from orders) + (select count(*) from lineitem) + (select count(*) from (select distinct l_partkey, l_suppkey from lineitem)) + (select count(*) from t a join t b on b.k = a.k + 1) as edges")
 def x5_totals(spark, d):
-    g = retail_graph(spark, d)
-    return type(g)({k: g.nodes_by_label[k] for k in ("Region", "Nation")}, {"IN_REGION": g.edges_by_type["IN_REGION"]}).totals()
+    return retail_graph(spark, d).totals()
 
 
 @query("select 'id' as property, 'bigint' as type, true as mandatory union all select 'n_name', 'string', true union all select 'n_regionkey', 'int', true")
@@ -456,17 +374,9 @@ def v3_filtered_topk(spark, d):
 @query("select user_id, max(ts) as last_used from events group by 1 having max(ts) >= (select quantile_disc(ts, 0.5) from events)")
 def v5_retention(spark, d):
     events = table(spark, d, "events")
-    n = events.count()
-    mark = events.select("ts").orderBy("ts").offset(max(-(-n // 2) - 1, 0)).limit(1).first()  # the median
+    mark = quantile(events, "ts", 0.5)
     used = events.groupBy("user_id").agg(F.max("ts").alias("last_used"))
-    return K.retained(used, "last_used", mark.ts) if mark else used
-
-
-@query("select * from (values (1, 'Order'), (2, 'Customer'), (3, 'Part'), (4, 'Nation'), (5, 'Supplier')) as t(position, label)")
-def v6_schema_retrieval(spark, d):
-    hits = spark.createDataFrame([("Order", 0.9), ("Region", 0.1)], "label string, score double")
-    links = spark.createDataFrame([("Customer", "Order"), ("Order", "Part"), ("Part", "Supplier"), ("Customer", "Nation"), ("Nation", "Region")], "a string, b string")
-    return spark.createDataFrame([(k + 1, x) for k, x in enumerate(K.retrieved_labels(hits, links, most=5))], "position int, label string")
+    return K.retained(used, "last_used", mark) if mark else used
 
 
 def _entries(spark, d):
@@ -519,36 +429,6 @@ def se7_map_masking(spark, d):
     return masked.select("id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abe"])
 
 
-@query("select * from (values (1, 'u1', 9), (2, 'analyst', 5)) as t(position, subject, priority)")
-def se8_policies(spark, d):
-    rows = [("role", "analyst", True, 5), ("user", "u1", True, 9), ("user", "u2", True, 9), ("role", "analyst", False, 8)]
-    found = G.effective_policies(spark.createDataFrame(rows, "subject_kind string, subject string, active boolean, priority int"), "analyst", "editor", "u1")
-    return found.select(F.row_number().over(Window.orderBy(F.desc("priority"))).alias("position"), "subject", "priority")
-
-
-_WAS = {"nodes": {"A": {"p": "int", "q": "string"}, "B": {}}, "edges": {"L": ("A", "B")}}
-_NOW = {"nodes": {"A": {"p": "bigint", "r": "string"}, "C": {}}, "edges": {"L": ("A", "C")}}
-
-
-@query("select * from (values ('node_added', 'C'), ('node_removed', 'B'), ('edge_modified', 'L'), ('property_added', 'A.r'), ('property_removed', 'A.q'), ('property_modified', 'A.p')) as t(change, what)")
-def df1_schema_difference(spark, d):
-    return spark.createDataFrame(M.difference(_WAS, _NOW), "change string, what string")
-
-
-@query("select * from (values ('A'), ('B'), ('L')) as t(label)")
-def df2_breaking_labels(spark, d):
-    return spark.createDataFrame([(x,) for x in M.breaking_labels(M.difference(_WAS, _NOW))], "label string")
-
-
-_STEPS = ({"p_size": "int", "p_brand": "string", "p_type": "string", "p_name": "string"}, {"p_size": "string", "p_brand": "double", "p_name": "date", "stock": "bigint"})
-
-
-@query("select * from (values ('add', 'stock'), ('cast', 'p_size'), ('cast', 'p_brand'), ('drop', 'p_type'), ('warning', 'p_name: string can''t become date')) as t(step, what)")
-def df3_migration_plan(spark, d):
-    steps, warnings = M.migration_plan(*_STEPS)
-    return spark.createDataFrame([s[:2] for s in steps] + [("warning", w) for w in warnings], "step string, what string")
-
-
 @query("select p_partkey as id, p_size::varchar as p_size, null::double as p_brand, p_name, 7::bigint as stock from part")
 def df4_data_migration(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_name")
@@ -592,17 +472,6 @@ def b6_kpi(spark, d):
     return table(spark, d, "customer").select(c("c_custkey").alias("id"), G.level(b, 5000, 9000).alias("above"), G.level(b, critical=0, above=False).alias("below"))
 
 
-@query("select * from (values ('a', 'double'), ('b', 'string'), ('e', 'json'), ('f', 'int')) as t(field, type)")
-def s7_merged_types(spark, d):
-    found = M.merged_fields([{"a": "int", "b": "int", "e": "json", "f": None}, {"a": "double", "b": "string", "e": "int", "f": "int"}])
-    return spark.createDataFrame(sorted(found.items()), "field string, type string")
-
-
-@query("select * from (values ('orders', 'customerId', 'customers'), ('items', 'order_id', 'orders')) as t(\"table\", \"column\", refers_to)")
-def s8_reference_columns(spark, d):
-    return spark.createDataFrame(M.reference_columns({"orders": ["customerId"], "customers": ["id"], "items": ["order_id", "grid"]}), "table string, column string, refers_to string")
-
-
 @query("select * from (values ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) as t(\"column\", type)")
 def s15_describe(spark, d):
     return spark.createDataFrame([x[:2] for x in M.described(table(spark, d, "nation"))], "column string, type string")
@@ -619,13 +488,6 @@ def s26_schema_of_graph(spark, d):
     return spark.createDataFrame([(k, *edges[k]) for k in ("IN_REGION", "PLACED")], "kind string, source string, target string")
 
 
-@query("select 3 as lines, 'CREATE TABLE B (id BIGINT NOT NULL);' as second, true as diagram")
-def k5_exports(spark, d):
-    schema = {"nodes": {"A": {"p": "int"}, "B": {}}, "edges": {"L": ("A", "B")}}
-    ddl = M.table_ddl(schema).split("\n")
-    return spark.createDataFrame([(len(ddl), ddl[1], "A }o--o{ B : L" in M.mermaid(schema))], "lines int, second string, diagram boolean")
-
-
 @query("select n_name as name, count(*) as n from nation join customer on c_nationkey = n_nationkey group by 1")
 def api_sql_over_views(spark, d):
     g = retail_graph(spark, d)

@@ -12,6 +12,7 @@ from plexgraph.functions import scalar as S
 from plexgraph.operators import analytics as A
 from plexgraph.operators import governance as G
 from plexgraph.operators import loading as L
+from plexgraph.operators.quantiles import quantile
 from plexgraph.plans.tables import co_bought, retail_graph, table
 from plexgraph.sources import readers
 from plexgraph.streaming import incremental
@@ -370,9 +371,8 @@ def l05_upsert_edges(spark, d):
 @query("select event_id as id, ts from events where ts > (select quantile_disc(ts, 0.9) from events)")
 def l09_incremental(spark, d):
     events = table(spark, d, "events")
-    n = events.count()
-    mark = events.select("ts").orderBy("ts").offset(max(-(-n * 9 // 10) - 1, 0)).limit(1).first()
-    return L.increment(events, "ts", mark[0]).select(c("event_id").alias("id"), "ts") if mark else events.select(c("event_id").alias("id"), "ts")
+    mark = quantile(events, "ts", 0.9)
+    return (L.increment(events, "ts", mark) if mark else events).select(c("event_id").alias("id"), "ts")
 
 
 @query("select c_custkey as id, case when c_acctbal < 0 then 'debt' else c_mktsegment end as segment from customer union all select 900001, 'new'")

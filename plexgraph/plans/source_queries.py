@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plexgraph.operators import quantiles as Q
 from plexgraph.plans.queries import query
 from plexgraph.plans.tables import table
 from plexgraph.sources import documents, inclusion
@@ -98,3 +99,26 @@ def pr10_document_profile(spark, d):
     """A profile of the events' properties."""
     rows = documents.profile(documents.as_documents(table(spark, d, "events"), "props"), "events", 200)
     return rows.withColumn("values", F.array_join("values", ","))
+
+
+@query("""with t as (select 'o_custkey' as "column", count(*) as n, count(*) - count(o_custkey) as n_null, min(o_custkey)::double as low, max(o_custkey)::double as high, count(distinct o_custkey) as exact from orders
+union all select 'o_totalprice', count(*), count(*) - count(o_totalprice), min(o_totalprice), max(o_totalprice), count(distinct o_totalprice) from orders
+union all select 'o_orderpriority', count(*), count(*) - count(o_orderpriority), null, null, count(distinct o_orderpriority) from orders)
+select *, true as distinct_within, case when low is not null then true end as quantiles_within from t""")
+def pr8_sketches(spark, d):
+    """Sketches of the orders' columns, made by status and merged: their counts, and whether their estimates keep the stated errors."""
+    orders = table(spark, d, "orders").select("o_orderstatus", "o_custkey", "o_totalprice", "o_orderpriority")
+    found = Q.estimates(Q.merged(Q.sketches(orders, ["o_orderstatus"])), (0.1, 0.5, 0.9))
+    parts = []
+    for name in ("o_custkey", "o_totalprice", "o_orderpriority"):
+        one = found.where(c("column") == name)  # one row
+        joined = orders.select(c(name).alias("value")).crossJoin(F.broadcast(one))
+        number = name != "o_orderpriority"
+        exact = F.count_distinct("value").alias("exact")
+        # the share of values up to an estimated quantile, and below it, hold the rank asked for between them
+        ranks = [(F.avg((c("value") < F.element_at("quantiles", k)).cast("double")) - Q.RANK_ERROR <= r) & (F.avg((c("value") <= F.element_at("quantiles", k)).cast("double")) + Q.RANK_ERROR >= r) for k, r in ((1, 0.1), (2, 0.5), (3, 0.9))] if number else []
+        all_ranks = ranks[0] & ranks[1] & ranks[2] if ranks else F.lit(None).cast("boolean")
+        end = (lambda x: F.first(c(x).try_cast("double"))) if number else (lambda x: F.lit(None).cast("double"))
+        checked = joined.agg(F.first("n").alias("n"), F.first("n_null").alias("n_null"), end("low").alias("low"), end("high").alias("high"), exact, F.first("n_distinct").alias("n_distinct"), all_ranks.alias("quantiles_within"))
+        parts.append(checked.select(F.lit(name).alias("column"), "n", "n_null", "low", "high", "exact", Q.within(c("n_distinct"), c("exact"), 3 * Q.DISTINCT_ERROR).alias("distinct_within"), "quantiles_within"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
