@@ -83,7 +83,7 @@ def merged(kept: DataFrame, by: list[str] = ()) -> DataFrame:
     numeric = F.max(F.col("quantile_sketch").isNotNull())
     low = F.when(numeric, F.min_by("low", number("low"))).otherwise(F.min("low"))
     high = F.when(numeric, F.max_by("high", number("high"))).otherwise(F.max("high"))
-    return kept.groupBy(*by, "column").agg(F.sum("n").alias("n"), F.sum("n_null").alias("n_null"), low.alias("low"), high.alias("high"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.kll_merge_agg_double("quantile_sketch", F.lit(K)).alias("quantile_sketch"))
+    return kept.groupBy(*by, "column").agg(F.sum("n").alias("n"), F.sum("n_null").alias("n_null"), low.alias("low"), high.alias("high"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.when(numeric, F.kll_merge_agg_double("quantile_sketch", F.lit(K))).alias("quantile_sketch"))
 
 
 def estimates(kept: DataFrame, ranks: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
