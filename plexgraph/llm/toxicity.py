@@ -69,14 +69,15 @@ def _symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     return symbol, word, place
 
 
-def _contexts(symbol: np.ndarray, place: np.ndarray, orders) -> dict[int, np.ndarray]:
-    """Of each symbol the hash of its context, for models of these orders."""
-    total, out = np.zeros(len(symbol), np.uint64), {}
+def _contexts(symbol: np.ndarray, place: np.ndarray, orders, at: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """Of each symbol, or of those at some places, the hash of its context, for models of these orders."""
+    at = np.arange(len(symbol)) if at is None else at
+    total, out = np.zeros(len(at), np.uint64), {}
     for k in range(1, max(orders) + 1):
         if k > 1:
-            before = np.full(len(symbol), START, np.uint64)
-            inside = np.flatnonzero(place >= k - 1)
-            before[inside] = symbol[inside - (k - 1)]
+            before = np.full(len(at), START, np.uint64)
+            inside = np.flatnonzero(place[at] >= k - 1)
+            before[inside] = symbol[at[inside] - (k - 1)]
             total = total + (before + np.uint64(1)) * np.uint64(pow(_STEP, k - 1, 1 << 64))
         if k in orders:
             out[k] = mix64(total + np.uint64(k))
@@ -121,11 +122,11 @@ class Model:
         self.order = order
         data, offsets = string_bytes(word)
         symbol, of, place = _symbols(data, offsets[:-1], offsets[1:])
-        contexts = _contexts(symbol, place, range(1, order + 1))
-        self.grams, first, at = np.unique(_grams(contexts[order], symbol), return_index=True, return_inverse=True)
+        top = _contexts(symbol, place, (order,))[order]
+        self.grams, first, at = np.unique(_grams(top, symbol), return_index=True, return_inverse=True)
         counts = [np.bincount(at, np.where(toxic[of] == k, n[of], 0), len(self.grams)) for k in (0, 1)]
-        lower = self._lower({k: v[first] for k, v in contexts.items()}, symbol[first], order)
-        context = contexts[order][first]
+        lower = self._lower(_contexts(symbol, place, range(1, order), first), symbol[first], order)
+        context = top[first]
         shared = Level(context, counts[0] + counts[1])
         both = shared.probability(counts[0] + counts[1], lower)
         classes = [Level(context, c) for c in counts]
