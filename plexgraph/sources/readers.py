@@ -88,17 +88,21 @@ def each_table(names: list[str], of, at_once: int = 8) -> list:
         return list(pool.map(of, names))
 
 
-#: Queries for a database's columns, and for its keys and references.
+#: Queries for a database's columns, its keys, and what foreign keys refer to; the last differs by database.
 CATALOGUE = {
     "columns": "select table_name, column_name, data_type, is_nullable from information_schema.columns where table_schema = '{schema}'",
-    "keys": "select k.table_name, k.column_name, c.constraint_type from information_schema.key_column_usage k join information_schema.table_constraints c on c.constraint_name = k.constraint_name and c.table_schema = k.table_schema where k.table_schema = '{schema}'",
+    "keys": "select k.table_name, k.column_name, c.constraint_type from information_schema.key_column_usage k join information_schema.table_constraints c on c.constraint_name = k.constraint_name and c.table_schema = k.table_schema and c.table_name = k.table_name where k.table_schema = '{schema}'",
+    "references postgresql": "select k.table_name, k.column_name, u.table_name as in_table, u.column_name as in_column from information_schema.key_column_usage k join information_schema.referential_constraints r on r.constraint_name = k.constraint_name and r.constraint_schema = k.constraint_schema join information_schema.key_column_usage u on u.constraint_name = r.unique_constraint_name and u.constraint_schema = r.unique_constraint_schema and u.ordinal_position = k.position_in_unique_constraint where k.table_schema = '{schema}'",
+    "references mysql": "select table_name, column_name, referenced_table_name as in_table, referenced_column_name as in_column from information_schema.key_column_usage where referenced_table_name is not null and table_schema = '{schema}'",
 }
 
 
 def catalogue(spark: SparkSession, url: str, what: str, schema: str = "public", **options) -> DataFrame:
-    """The columns or keys of a database's tables, read over JDBC."""
-    if url.split(":")[1] not in DATABASES or not schema.isidentifier():
+    """The columns, keys or references of a database's tables, read over JDBC; references have the table and column that a foreign key refers to."""
+    kind = url.split(":")[1]
+    if kind not in DATABASES or not schema.isidentifier():
         raise ValueError(f"{url} is none of {DATABASES}, or {schema} no name")
+    what = f"references {kind}" if what == "references" else what
     return spark.read.format("jdbc").options(url=url, query=CATALOGUE[what].format(schema=schema), **options).load()
 
 
