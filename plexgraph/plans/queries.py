@@ -16,6 +16,7 @@ from plexgraph.operators.quantiles import quantile
 from plexgraph.plans.tables import co_bought, retail_graph, table
 from plexgraph.sources import readers
 from plexgraph.streaming import incremental
+from plexgraph.streaming.buckets import BucketTable
 
 QUERIES, SQL = {}, {}
 c = F.col
@@ -525,5 +526,6 @@ def st1_available_now(spark, d):
     folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
     events.repartition(8).write.mode("overwrite").parquet(f"{folder}/in")
-    incremental.upsert_stream(incremental.read_stream(spark, f"{folder}/in", events.schema, files_a_batch=3), f"{folder}/out", ["user_id"], "at", f"{folder}/mark").awaitTermination()
-    return incremental.newest(spark, f"{folder}/out", events.schema).select("user_id", "event_id")
+    target = BucketTable(spark, f"{folder}/out", events.schema, ["user_id"], 16)
+    target.consume(incremental.read_stream(spark, f"{folder}/in", events.schema, files_a_batch=3), f"{folder}/mark", order="at").awaitTermination()
+    return target.read().select("user_id", "event_id")

@@ -1,49 +1,10 @@
-"""The incremental load as a stream: files that arrive are upserted once, and the stream's checkpoint is the watermark."""
+"""The incremental load as a stream: files that arrive are brought in once, and the stream's checkpoint is the watermark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from plexgraph.operators.loading import latest, upsert
-
-
-def upsert_stream(source: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, conflict: str = "update"):
-    """Starts a query that brings all that is there into the Parquet table versions under `target` and ends.
-
-    A row replaces one of its key only if it is not older by `order`, in whichever
-    batch it comes. A version is written whole before the one before the last is removed.
-    """
-    spark = source.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = latest(batch, keys, F.col(order))
-        if number:
-            old = spark.read.schema(rows.schema).parquet(f"{target}/v{number - 1}")
-            rows = latest(old.unionByName(rows), keys, F.col(order)) if conflict == "update" else upsert(old, rows, keys, conflict)
-        rows.write.mode("overwrite").parquet(f"{target}/v{number}")  # a batch that is repeated writes the same version again
-        _remove(spark, f"{target}/v{number - 2}")
-
-    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _files(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where, files = _files(spark, path)
-    files.delete(where, True)
-
-
-def newest(spark: SparkSession, target: str, schema) -> DataFrame:
-    """The newest whole version of the table; empty before the first batch."""
-    where, files = _files(spark, target)
-    names = [str(s.getPath().getName()) for s in files.listStatus(where)] if files.exists(where) else []
-    done = [n for n in names if n[0] == "v" and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-    return spark.read.schema(schema).parquet(f"{target}/{max(done, key=lambda n: int(n[1:]))}") if done else spark.createDataFrame([], schema)
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_a_batch: int = 100) -> DataFrame:
+    """Parquet files of a folder as a stream; `BucketTable.consume` brings it into a keyed table."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
