@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from plexgraph.functions.registry import Functions
 from plexgraph.operators import communities as C
 from plexgraph.operators import paths as P
+from plexgraph.operators import trigrams
+from plexgraph.operators.rounds import shared_folder
+from plexgraph.operators.vector_index import VectorIndex
 from plexgraph.plans.queries import query
-from plexgraph.plans.tables import co_bought, table
+from plexgraph.plans.tables import co_bought, retail_graph, table
 
 c = F.col
 
@@ -108,3 +114,60 @@ def r2_community_sizes(spark, d):
     nations = table(spark, d, "nation").select("n_nationkey", "n_name")
     labels = table(spark, d, "customer").join(nations, c("c_nationkey") == c("n_nationkey")).select(c("c_custkey").alias("id"), c("n_name").alias("community"))
     return A.communities(labels).withColumn("members", F.array_join(c("members").cast("array<string>"), ","))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select 'Customer' as label, c_custkey as id from customer where contains(c_name, 'BUILD') or contains(c_mktsegment, 'BUILD') or contains(c_custkey::varchar, 'BUILD') union all select 'Part', p_partkey from part where contains(p_name, 'BUILD') or contains(p_brand, 'BUILD') or contains(p_type, 'BUILD') order by label, id limit 100")
+def x1_trigram_search(spark, d):
+    """A search of customers and parts by a stored index of their trigrams."""
+    index = trigrams.TrigramIndex(spark, _folder(spark, "trigrams"), 16).build(retail_graph(spark, d), ("Customer", "Part"))
+    return index.search("BUILD")
+
+
+_ASKED = "with q as (select embedding from embeddings where vec_id = 0) select vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 5) as score from embeddings e, q"
+
+
+@query(f"{_ASKED} where label <> 3 order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, vec_id limit 25")
+def v3_pruned_topk(spark, d):
+    """The vectors most like one, of those with another label than 3, from parts by centroid that are read by their bounds."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id = 0").select("embedding").first()
+    index = VectorIndex(spark, _folder(spark, "vectors"), "vec_id", "embedding").build(rows)
+    found, _ = index.search(list(asked["embedding"]), 25, c("label") != 3)
+    return found.select(c("vec_id").alias("id"), F.round("score", 5).alias("score"))
+
+
+#: Functions that a user of the retail graph declares.
+OWN = Functions()
+
+
+@OWN.scalar("segment_code", ("string", "long"), "string")
+def _segment_code(segment, nation):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.binary_join_element_wise(pc.utf8_slice_codeunits(segment, 0, 2), pc.cast(nation, pa.string()), "/")
+
+
+@OWN.table("name_parts", ("string",), "position int, part string")
+def _name_parts(name):
+    for k, part in enumerate((name or "").split(" ")):
+        yield k, part
+
+
+@query("select c_custkey as id, left(c_mktsegment, 2) || '/' || c_nationkey as code, upper(c_name) as name from customer")
+def ud5_scalar_function(spark, d):
+    """A scalar function of the user's beside one of the library's, called by name."""
+    rows = table(spark, d, "customer")
+    return rows.select(c("c_custkey").alias("id"), OWN.call("segment_code", "c_mktsegment", "c_nationkey").alias("code"), OWN.call("toUpper", "c_name").alias("name"))
+
+
+@query("select part, count(*) as n from (select unnest(string_split(p_name, ' ')) as part from part) group by part")
+def ud5_table_function(spark, d):
+    """A table function of the user's, called from SQL."""
+    OWN.install(spark)
+    table(spark, d, "part").createOrReplaceTempView("parts_of_ud5")
+    return spark.sql("select part, count(*) as n from parts_of_ud5, lateral name_parts(p_name) group by part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plexgraph.operators import bounded
 from plexgraph.operators import quantiles as Q
 from plexgraph.plans.queries import query
 from plexgraph.plans.tables import table
@@ -122,3 +123,12 @@ def pr8_sketches(spark, d):
         checked = joined.agg(F.first("n").alias("n"), F.first("n_null").alias("n_null"), end("low").alias("low"), end("high").alias("high"), exact, F.first("n_distinct").alias("n_distinct"), all_ranks.alias("quantiles_within"))
         parts.append(checked.select(F.lit(name).alias("column"), "n", "n_null", "low", "high", "exact", Q.within(c("n_distinct"), c("exact"), 3 * Q.DISTINCT_ERROR).alias("distinct_within"), "quantiles_within"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("select 'nation' as \"table\", 'n_name' as \"column\", count(*) as n, count(*) - count(n_name) as n_null, count(distinct n_name) as n_distinct, 'done' as status from nation union all select 'customer', 'c_mktsegment', count(*), count(*) - count(c_mktsegment), count(distinct c_mktsegment), 'done' from customer union all select 'broken', null, null, null, null, 'failed'")
+def pr4_bounded_profiles(spark, d):
+    """Profiles of three tables within a time for each, one of which fails and leaves the others whole."""
+    broken = table(spark, d, "orders").select(F.when(c("o_orderkey") >= 0, F.raise_error(F.lit("a value that can't be read"))).cast("string").alias("x"))
+    tables = {"nation": table(spark, d, "nation").select("n_name"), "broken": broken, "customer": table(spark, d, "customer").select("c_mktsegment")}
+    rows, outcomes = bounded.profiles(spark, tables, timeout=300.0)
+    return outcomes.join(rows, "table", "left").select("table", "column", "n", "n_null", "n_distinct", "status")
