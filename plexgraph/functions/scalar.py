@@ -130,9 +130,22 @@ def chosen(value: Column, cases: list[tuple], default=None) -> Column:
 
 
 def duration(text: Column) -> Column:
-    """Seconds of a duration PnDTnHnMnS; null if it is none."""
+    """Seconds of a duration PnWnDTnHnMnS without years and months, whose lengths vary; null if it is none or has those."""
     part = lambda letter, seconds: F.coalesce(F.nullif(F.regexp_extract(text, rf"(\d+(?:\.\d+)?){letter}", 1), F.lit("")).try_cast("double"), F.lit(0.0)) * seconds
-    return F.when(text.rlike(r"\AP(?=.)(\d+D)?(T(?=\d)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?\z"), part("D", 86400) + part("H", 3600) + part("M", 60) + part("S", 1))
+    return F.when(text.rlike(r"\AP(?=.)(\d+W)?(\d+D)?(T(?=\d)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?\z"), part("W", 604800) + part("D", 86400) + part("H", 3600) + part("M", 60) + part("S", 1))
+
+
+def plus_duration(at: Column, text: Column, sign: int = 1) -> Column:
+    """A date or time later by a duration PnYnMnWnDTnHnMnS (sign -1: earlier), by the calendar; null if it is no duration.
+
+    Years and months come first, with the last day of a shorter month, then weeks and days, then hours, minutes and seconds.
+    """
+    fits = text.rlike(r"\AP(?=.)(\d+Y)?(\d+M)?(\d+W)?(\d+D)?(T(?=\d)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?\z")
+    days, clock = F.regexp_extract(text, "^P([^T]*)", 1), F.regexp_extract(text, "T(.*)$", 1)
+    part = lambda of, letter, kind="int": F.coalesce(F.nullif(F.regexp_extract(of, rf"(\d+(?:\.\d+)?){letter}", 1), F.lit("")).try_cast(kind), F.lit(0).cast(kind)) * sign
+    months = F.make_ym_interval(part(days, "Y"), part(days, "M"))
+    rest = F.make_dt_interval(part(days, "W") * 7 + part(days, "D"), part(clock, "H"), part(clock, "M"), part(clock, "S", "decimal(18,6)"))
+    return F.when(fits, at.cast("timestamp_ntz") + months + rest)
 
 
 def json_text(value: Column, path: str) -> Column:

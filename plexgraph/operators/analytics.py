@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder where the session has one, else keeps rows cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+from plexgraph.operators.rounds import Rounds
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """(id, score) of the nodes of edges (src, dst): repeated edges count once, a sink's rank isn't dealt out."""
-    edges = _cut(edges.select("src", "dst").distinct())
-    nodes = _cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
-    n = nodes.count()
+    """(id, score) of the nodes of edges (src, dst): repeated edges count once, a sink's rank isn't dealt out.
+
+    Links are dealt out by their source once and stay so in memory and on disk; ranks come out of each round's only shuffle
+    dealt by the same key, so they meet the links where they are. Every tenth round is kept as a table.
+    """
+    kept = Rounds(edges)
+    edges = kept.keep("edges", edges.select("src", "dst").distinct())
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = _cut(edges.join(degree, "src"))
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    n = nodes.count()
+    # a node without links has one to itself of no weight, so that it stays among the ranks
+    links = edges.join(degree, "src").select("src", "dst", (1 / F.col("degree")).alias("share")).unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share")))
+    links = links.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks = nodes.withColumn("score", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
-        sent = links.join(ranks, links.src == ranks.id).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        ranks = nodes.join(sent, nodes.id == sent.dst, "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if k % 5 == 4:
-            ranks = _cut(ranks)
+        sent = links.join(ranks.hint("shuffle_hash"), links.src == ranks.id).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        ranks = sent.select(F.col("dst").alias("id"), (F.lit((1 - damping) / max(n, 1)) + damping * F.col("got")).alias("score"))
+        if k % 10 == 9 or k == rounds - 1:
+            ranks = kept.keep("ranks", ranks)
+    links.unpersist()
     return ranks
 
 
@@ -37,7 +43,8 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
 
     In each round only every second node by its hash moves, so that two labellings can't swing to and fro.
     """
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    kept = Rounds(edges)
+    both = kept.keep("both", edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
     best = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("own"), "community")
     still = 0
@@ -46,7 +53,7 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
         votes = votes.join(labels.withColumnRenamed("community", "was"), "id").withColumn("own", F.col("was") == F.col("community"))
         won = votes.withColumn("k", F.row_number().over(best)).where("k = 1")
         moves = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
-        new = _cut(won.select("id", F.when(moves, F.col("community")).otherwise(F.col("was")).alias("community"), "was"))
+        new = kept.keep("labels", won.select("id", F.when(moves, F.col("community")).otherwise(F.col("was")).alias("community"), "was"))
         still = 0 if new.where("community <> was").limit(1).count() else still + 1
         labels = new.select("id", "community")
         if still == 2:
@@ -66,12 +73,13 @@ def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = None) -
 
     Paths of any length count, or those of at most `most` edges.
     """
-    edges = _cut(edges.select("src", "dst").distinct())
+    kept = Rounds(edges)
+    edges = kept.keep("edges", edges.select("src", "dst").distinct())
     level = sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths"))
     levels, seen = [level], level.select("s", "v")
     while most is None or len(levels) <= most:
         step = level.join(edges, level.v == edges.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        level = _cut(step.join(seen, ["s", "v"], "left_anti"))
+        level = kept.keep(f"level {len(levels)}", step.join(seen, ["s", "v"], "left_anti"))
         if not level.limit(1).count():
             break
         levels.append(level)
@@ -82,7 +90,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = None) -
         scores.append(here.select("v", "load"))
         up = here.join(edges, here.v == edges.dst).select("s", F.col("src").alias("u"), "paths", "load")
         parents = levels[k - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("up"))
-        below = _cut(up.join(parents, ["s", "u"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("up") / F.col("paths") * (1 + F.col("load"))).alias("load")))
+        below = kept.keep(f"below {k}", up.join(parents, ["s", "u"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("up") / F.col("paths") * (1 + F.col("load"))).alias("load")))
     if not scores:
         return sources.where("false").select("id", F.lit(0.0).alias("score"))
     total = scores[0]
@@ -91,27 +99,6 @@ def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = None) -
     return total.groupBy(F.col("v").alias("id")).agg(F.sum("load").alias("score"))
 
 
-def least_costs(edges: DataFrame, start: int) -> DataFrame:
-    """(id, cost, path) from one node over edges (src, dst, weight): relaxation until nothing gets cheaper.
-
-    Of equal costs the least path counts. Null and negative weights are an error.
-    """
-    bad = F.coalesce(F.col("weight") < 0, F.lit(True))
-    if edges.where(bad).limit(1).count():
-        raise ValueError("least costs need weights of 0 or more")
-    edges = _cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    best = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0.0).alias("cost"), F.array(F.lit(start).cast("long")).alias("path"))
-    frontier = best
-    while True:
-        step = frontier.join(edges, frontier.id == edges.src).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.array_append("path", F.col("dst")).alias("path"))
-        step = step.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("m")).select("id", "m.cost", "m.path")
-        old = best.select("id", F.col("cost").alias("was"))
-        frontier = _cut(step.join(old, "id", "left").where("was is null or cost < was").select("id", "cost", "path"))
-        if not frontier.limit(1).count():
-            return best
-        best = _cut(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
-
-
 def similarity(edges: DataFrame, least: float = 0.1, undirected: bool = False) -> DataFrame:
     """(a, b, shared, jaccard, cosine) of nodes src that share neighbours dst, or neighbours of either direction.
 

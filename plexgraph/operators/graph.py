@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plexgraph.operators.rounds import Rounds
+
 
 @dataclass(frozen=True)
 class EdgeView:
@@ -130,13 +132,13 @@ class PropertyGraph:
         steps = reduce(DataFrame.unionByName, [self._steps(kind, direction).select("from", "to", named(kind).alias("eid")) for kind in kinds])
         level = start.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array().cast("array<string>").alias("edges"))
         found = [level.select("start", "end", F.lit(0).alias("hops"), "edges")] if least == 0 else []
-        hops = 0
+        hops, rounds = 0, Rounds(steps)
         while most is None or hops < most:
             hops += 1
             level = level.join(steps, F.col("end") == F.col("from")).where(~F.array_contains("edges", F.col("eid")))
             level = level.select("start", F.col("to").alias("end"), F.array_append("edges", F.col("eid")).alias("edges"))
             if most is None:
-                level = stored_level(level)
+                level = rounds.keep(f"level {hops}", level)
                 if not level.limit(1).count():
                     break
             if hops >= least:
@@ -150,31 +152,34 @@ class PropertyGraph:
     def shortest(self, kinds: tuple[str, ...], start: DataFrame, end: DataFrame | None = None, most: int | None = None, both: bool = False, every: bool = False) -> DataFrame:
         """(start, end, hops, path) from start ids to end ids (id), or to all: one shortest path of least node order, or all of them.
 
-        The search ends when every pair of start and end is found, nothing new is reached, or after `most` steps.
+        The search ends when every pair of start and end is found, nothing new is reached, or after `most` steps. What is
+        reached is appended to one table, whose pairs the next step is held against. A node is there at once from itself, so
+        a way around a cycle back to it is no path, and a start that is an end too has no row of its own.
         """
         edges = self.edges(*kinds).select("src", "dst")
         if both:
             edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        edges = stored_level(edges.distinct())
-        frontier = start.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("path")).distinct()
-        reached, seen, hops = [], frontier.select("start", "end"), 0
-        wanted = None if end is None else end.select(F.col("id").alias("end")).distinct()
-        open_pairs = None if wanted is None else stored_level(frontier.select("start").crossJoin(wanted).where("start <> end"))
+        rounds = Rounds(edges)
+        edges = rounds.keep("edges", edges.distinct())
+        first = start.select(F.col("id").alias("start"), F.col("id").alias("end"), F.lit(0).alias("hops"), F.array("id").alias("path")).distinct()
+        frontier, hops, schema = rounds.append("reached", first), 0, first.schema
+        wanted = None if end is None else rounds.keep("wanted", end.select(F.col("id").alias("end")).distinct())
+        n_wanted = None if wanted is None else wanted.count()
         while most is None or hops < most:
             hops += 1
-            step = frontier.join(edges, F.col("end") == F.col("src")).select("start", F.col("dst").alias("end"), F.array_append("path", F.col("dst")).alias("path"))
+            seen = rounds.appended("reached", schema).select("start", "end")
+            step = frontier.join(edges, F.col("end") == F.col("src")).select("start", F.col("dst").alias("end"), F.lit(hops).alias("hops"), F.array_append("path", F.col("dst")).alias("path"))
             step = step.join(seen, ["start", "end"], "left_anti")
-            frontier = stored_level(step.distinct() if every else step.groupBy("start", "end").agg(F.min("path").alias("path")))
+            step = step.distinct() if every else step.groupBy("start", "end").agg(F.min("hops").alias("hops"), F.min("path").alias("path"))
+            frontier = rounds.append("reached", step.select("start", "end", "hops", "path"))
             if not frontier.limit(1).count():
                 break
-            reached.append(frontier.select("start", "end", F.lit(hops).alias("hops"), "path"))
-            seen = stored_level(seen.unionByName(frontier.select("start", "end").distinct()))
-            if wanted is not None:
-                open_pairs = stored_level(open_pairs.join(frontier.select("start", "end"), ["start", "end"], "left_anti"))
-                if not open_pairs.limit(1).count():
+            if wanted is not None:  # a start that has all its ends goes no further
+                found = rounds.appended("reached", schema).join(wanted, "end", "left_semi").groupBy("start").agg(F.count_distinct("end").alias("n")).where(F.col("n") == n_wanted)
+                frontier = frontier.join(found, "start", "left_anti")
+                if not frontier.limit(1).count():
                     break
-                frontier = frontier.join(open_pairs.select("start").distinct(), "start", "left_semi")
-        rows = reduce(DataFrame.unionByName, reached) if reached else frontier.select("start", "end", F.lit(0).alias("hops"), "path").where("false")
+        rows = rounds.appended("reached", schema).where("hops > 0")
         return rows if wanted is None else rows.join(wanted, "end", "left_semi").select("start", "end", "hops", "path")
 
     def scope(self, labels: tuple[str, ...] = (), kinds: tuple[str, ...] = (), where: dict[str, Column] | None = None) -> DataFrame:
@@ -233,11 +238,6 @@ class PropertyGraph:
         return rows.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
-def stored_level(df: DataFrame) -> DataFrame:
-    """Ends the lineage of a round in the shared checkpoint folder where the session has one, else keeps rows cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-
-
 def hop_range(least: int | None, most: int | None) -> tuple[int, int | None] | None:
     """A normal range of hops, without an end if most is None, or None for a single step.
 

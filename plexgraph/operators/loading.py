@@ -117,8 +117,11 @@ def create_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def merge_nodes(rows: DataFrame, new: DataFrame, keys: list[str], on_create: dict[str, Column], on_match: dict[str, Column]) -> DataFrame:
-    """rows in which each key of new exists: on_match sets columns of the rows that were there, on_create those of added ones."""
-    wanted = new.select(*keys).distinct()
+    """rows in which each key of new exists: on_match sets columns of the rows that were there, on_create those of added ones.
+
+    A key with a null in it can be matched by nothing and is left out, so that a repeated call adds nothing.
+    """
+    wanted = new.select(*keys).dropna().distinct()
     there = rows.join(wanted.withColumn("__hit", F.lit(True)), keys, "left")
     there = there.select(*[F.when(F.col("__hit"), on_match[c]).otherwise(F.col(c)).alias(c) if c in on_match else F.col(c) for c in rows.columns])
     added = wanted.join(rows.select(*keys), keys, "left_anti")

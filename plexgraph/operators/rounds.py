@@ -22,7 +22,7 @@ class Rounds:
     """
 
     def __init__(self, like: DataFrame):
-        self.spark, self.kept = like.sparkSession, {}
+        self.spark, self.kept, self.parts = like.sparkSession, {}, {}
         self.folder = f"{shared_folder(self.spark)}/rounds-{uuid.uuid4().hex}"
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
@@ -32,6 +32,18 @@ class Rounds:
         self.kept[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Adds rows to the table kept under a name, without writing what is there again; gives the added rows."""
+        path = self.kept.setdefault(name, f"{self.folder}/{uuid.uuid4().hex}")
+        part = f"{path}/part={len(self.parts.setdefault(name, []))}"
+        df.write.parquet(part)
+        self.parts[name].append(part)
+        return self.spark.read.schema(df.schema).parquet(part)
+
+    def appended(self, name: str, schema) -> DataFrame:
+        """All rows that were appended under a name."""
+        return self.spark.read.schema(schema).parquet(*self.parts[name])
+
     def rename(self, old: str, new: str) -> None:
         """The table kept as old takes the place of the one kept as new."""
         self._drop(self.kept.get(new))

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from plexgraph.functions.registry import Functions
+from plexgraph.operators import analytics as A
 from plexgraph.operators import communities as C
 from plexgraph.operators import paths as P
 from plexgraph.operators import trigrams
+from plexgraph.operators.graph import PropertyGraph
 from plexgraph.operators.rounds import shared_folder
 from plexgraph.operators.vector_index import VectorIndex
 from plexgraph.plans.queries import query
@@ -109,8 +111,6 @@ def r3_path_and_reach(spark, d):
 @query("select community, count(*) as size, array_to_string(list_sort(list(id))[:10], ',') as members from (select c_custkey as id, n_name as community from customer join nation on n_nationkey = c_nationkey) group by community having count(*) >= 3")
 def r2_community_sizes(spark, d):
     """Sizes and first members of the communities that customers' nations are."""
-    from plexgraph.operators import analytics as A
-
     nations = table(spark, d, "nation").select("n_nationkey", "n_name")
     labels = table(spark, d, "customer").join(nations, c("c_nationkey") == c("n_nationkey")).select(c("c_custkey").alias("id"), c("n_name").alias("community"))
     return A.communities(labels).withColumn("members", F.array_join(c("members").cast("array<string>"), ","))
@@ -171,3 +171,53 @@ def ud5_table_function(spark, d):
     OWN.install(spark)
     table(spark, d, "part").createOrReplaceTempView("parts_of_ud5")
     return spark.sql("select part, count(*) as n from parts_of_ud5, lateral name_parts(p_name) group by part")
+
+
+def _nation_trade(spark, d):
+    """Nations, and which of them sell to which in more lines than is usual: a directed graph with cycles and many ways between two nodes."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")).join(table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey")).join(table(spark, d, "customer"), c("o_custkey") == c("c_custkey"))
+    pairs = lines.where("s_nationkey <> c_nationkey").groupBy(c("s_nationkey").cast("long").alias("src"), c("c_nationkey").cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    usual = pairs.agg((F.avg("n") * 1.15).alias("usual"))  # one row
+    edges = pairs.crossJoin(F.broadcast(usual)).where("n > usual").select("src", "dst")
+    graph = PropertyGraph().with_nodes("Nation", table(spark, d, "nation"), "n_nationkey")
+    return graph.with_edges("SELLS", edges, "Nation", "Nation", c("src"), c("dst"), c("src") * 100 + c("dst"))
+
+
+_SELLS = """with recursive tr as (select s_nationkey::bigint as src, c_nationkey::bigint as dst, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where s_nationkey <> c_nationkey group by 1, 2),
+e as (select src, dst from tr where n > (select avg(n) * 1.15 from tr)),
+r(s, t, h) as (select n_nationkey::bigint, n_nationkey::bigint, 0 from nation union select s, dst, h + 1 from r join e on t = src where h < 25),
+dist as (select s, t, min(h) as h from r group by 1, 2),
+p(s, t, h, path) as (select n_nationkey::bigint, n_nationkey::bigint, 0, [n_nationkey::bigint] from nation union all select p.s, e.dst, p.h + 1, p.path || [e.dst] from p join e on e.src = p.t join dist on dist.s = p.s and dist.t = e.dst and dist.h = p.h + 1)"""
+
+
+def _as_rows(rows):
+    return rows.select(c("start").alias("start_id"), c("end").alias("end_id"), "hops", F.array_join(c("path").cast("array<string>"), ",").alias("path"))
+
+
+@query(_SELLS + " select s as start_id, t as end_id, h as hops, array_to_string(path, ',') as path from p where h > 0 qualify row_number() over (partition by s, t order by path) = 1")
+def pf1_shortest_of_trade(spark, d):
+    """The least shortest path between any two nations that trade leads from and to."""
+    g = _nation_trade(spark, d)
+    return _as_rows(g.shortest(("SELLS",), g.nodes("Nation")))
+
+
+@query(_SELLS + " select s as start_id, t as end_id, h as hops, array_to_string(path, ',') as path from p where h > 0 and t % 5 = 0 and s <> t")
+def pf2_all_shortest_of_trade(spark, d):
+    """All shortest paths from each nation to every fifth."""
+    g = _nation_trade(spark, d)
+    return _as_rows(g.shortest(("SELLS",), g.nodes("Nation"), g.nodes("Nation").where("id % 5 = 0"), every=True))
+
+
+@query(_SELLS + ", w(s, t, h, es) as (select src, dst, 1, [src * 100 + dst] from e where src % 4 = 1 union all select s, dst, h + 1, es || [src * 100 + dst] from w join e on t = src where h < 3 and not list_contains(es, src * 100 + dst)) select s as start_id, t as end_id, h as hops, array_to_string(es, ',') as edges from w where t % 3 = 0")
+def pf3_all_paths_of_trade(spark, d):
+    """All paths of at most three edges, none of them twice, between some nations."""
+    g = _nation_trade(spark, d)
+    rows = g.all_paths("SELLS", g.nodes("Nation").where("id % 4 = 1"), g.nodes("Nation").where("id % 3 = 0"), most=3)
+    return rows.select(c("start").alias("start_id"), c("end").alias("end_id"), "hops", F.array_join("edges", ",").alias("edges"))
+
+
+@query(_SELLS + ", n as (select s, t, h, count(*)::double as n from p group by 1, 2, 3) select v.t as id, round(coalesce((select sum(a.n * b.n / c.n) from n a join n b on b.s = a.t join n c on c.s = a.s and c.t = b.t and c.h = a.h + b.h where a.t = v.t and a.h > 0 and b.h > 0), 0), 6) as score from (select distinct t from n where h > 0) v")
+def ga3_betweenness_of_trade(spark, d):
+    """Betweenness of the nations, by all shortest paths between all others."""
+    g = _nation_trade(spark, d)
+    return A.betweenness(g.edges("SELLS").select("src", "dst"), g.nodes("Nation").select("id")).select("id", F.round("score", 6).alias("score"))

@@ -12,6 +12,7 @@ from plexgraph.functions import scalar as S
 from plexgraph.operators import analytics as A
 from plexgraph.operators import governance as G
 from plexgraph.operators import loading as L
+from plexgraph.operators.paths import least_costs
 from plexgraph.operators.quantiles import quantile
 from plexgraph.plans.tables import co_bought, retail_graph, table
 from plexgraph.sources import readers
@@ -314,7 +315,7 @@ def ga4_dijkstra(spark, d):
     a, b = lines.select("l_orderkey", c("l_partkey").alias("src"), c("q").alias("qa")), lines.select("l_orderkey", c("l_partkey").alias("dst"), c("q").alias("qb"))
     edges = a.join(b, "l_orderkey").where("src <> dst").select("src", "dst", (c("qa") + c("qb")).alias("weight"))
     start = table(spark, d, "part").agg(F.min("p_partkey")).first()[0] or 0
-    return A.least_costs(edges, start).select("id", "cost")
+    return least_costs(edges, start).select("id", "cost")
 
 
 _SUPPLIES = "e as (select distinct l_suppkey as src, l_partkey as dst from lineitem)"

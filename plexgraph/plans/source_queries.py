@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plexgraph.functions import scalar as S
 from plexgraph.operators import bounded
 from plexgraph.operators import quantiles as Q
 from plexgraph.plans.queries import query
@@ -132,3 +133,14 @@ def pr4_bounded_profiles(spark, d):
     tables = {"nation": table(spark, d, "nation").select("n_name"), "broken": broken, "customer": table(spark, d, "customer").select("c_mktsegment")}
     rows, outcomes = bounded.profiles(spark, tables, timeout=300.0)
     return outcomes.join(rows, "table", "left").select("table", "column", "n", "n_null", "n_distinct", "status")
+
+
+@query("with t as (select o_orderkey as id, o_orderdate::timestamp as t0, o_orderkey % 4 as y, o_orderkey % 14 as m, o_orderkey % 3 as w, o_orderkey % 40 as dd, o_orderkey % 30 as h, o_orderkey % 90 as s from orders) select id, t0 + to_months((12 * y + m)::int) + to_days((7 * w + dd)::int) + to_hours(h) + to_seconds(s) as later, t0 - to_months((12 * y + m)::int) - to_days((7 * w + dd)::int) - to_hours(h) - to_seconds(s) as earlier, case when id % 2 = 0 then (7 * w + dd) * 86400.0 + h * 3600 + s end as seconds from t")
+def fn_durations(spark, d):
+    """Order dates later and earlier by durations of the orders' own keys, and durations without years and months in seconds."""
+    key = c("o_orderkey")
+    piece = lambda n, letter: F.concat((key % n).cast("string"), F.lit(letter))
+    rest = F.concat(piece(3, "W"), piece(40, "D"), F.lit("T"), piece(30, "H"), F.lit("0M"), piece(90, "S"))
+    whole, short = F.concat(F.lit("P"), piece(4, "Y"), piece(14, "M"), rest), F.when(key % 2 == 0, F.concat(F.lit("P"), rest)).otherwise(F.concat(F.lit("P1Y"), rest))
+    at = c("o_orderdate")
+    return table(spark, d, "orders").select(key.alias("id"), S.plus_duration(at, whole).alias("later"), S.plus_duration(at, whole, -1).alias("earlier"), S.duration(short).alias("seconds"))

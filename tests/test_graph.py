@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plexgraph.functions import scalar
-from plexgraph.operators import analytics, governance, loading
+from plexgraph.operators import analytics, governance, loading, paths
 from plexgraph.operators.graph import PropertyGraph
 from plexgraph.sources import readers
 
@@ -57,7 +57,7 @@ def test_unknown_names_are_errors(spark):
 
 def test_least_costs_prefers_the_cheaper_way(spark):
     edges = spark.createDataFrame([(1, 2, 5.0), (1, 3, 1.0), (3, 2, 1.0)], "src long, dst long, weight double")
-    assert {r.id: (r.cost, r.path) for r in analytics.least_costs(edges, 1).collect()} == {1: (0.0, [1]), 2: (2.0, [1, 3, 2]), 3: (1.0, [1, 3])}
+    assert {r.id: (r.cost, r.path) for r in paths.least_costs(edges, 1).collect()} == {1: (0.0, [1]), 2: (2.0, [1, 3, 2]), 3: (1.0, [1, 3])}
 
 
 def test_betweenness_of_a_chain(spark):
@@ -114,9 +114,9 @@ def test_implied_keys_and_pii_names():
 
 def test_least_costs_goes_to_the_end_and_refuses_negative_weights(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(24)], "src long, dst long, weight double")
-    assert analytics.least_costs(chain, 0).count() == 25
+    assert paths.least_costs(chain, 0).count() == 25
     with pytest.raises(ValueError):
-        analytics.least_costs(chain.selectExpr("src", "dst", "-weight as weight"), 0)
+        paths.least_costs(chain.selectExpr("src", "dst", "-weight as weight"), 0)
 
 
 def test_similarity_in_both_directions(spark):
