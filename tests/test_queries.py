@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from plexgraph.plans import more_queries  # noqa: F401
+from plexgraph.plans import graph_queries, more_queries, source_queries  # noqa: F401 - add their queries
 from plexgraph.plans.queries import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
