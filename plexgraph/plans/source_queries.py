@@ -135,7 +135,7 @@ def pr4_bounded_profiles(spark, d):
     return outcomes.join(rows, "table", "left").select("table", "column", "n", "n_null", "n_distinct", "status")
 
 
-@query("with t as (select o_orderkey as id, o_orderdate::timestamp as t0, o_orderkey % 4 as y, o_orderkey % 14 as m, o_orderkey % 3 as w, o_orderkey % 40 as dd, o_orderkey % 30 as h, o_orderkey % 90 as s from orders) select id, t0 + to_months((12 * y + m)::int) + to_days((7 * w + dd)::int) + to_hours(h) + to_seconds(s) as later, t0 - to_months((12 * y + m)::int) - to_days((7 * w + dd)::int) - to_hours(h) - to_seconds(s) as earlier, case when id % 2 = 0 then (7 * w + dd) * 86400.0 + h * 3600 + s end as seconds from t")
+@query("with t as (select o_orderkey as id, o_orderdate::timestamp as t0, o_orderkey % 4 as y, o_orderkey % 14 as m, o_orderkey % 3 as w, o_orderkey % 40 as dd, o_orderkey % 30 as h, o_orderkey % 90 as s from orders) select id, t0 + to_months((12 * y + m)::int) + to_days((7 * w + dd)::int) + to_hours(h) + to_seconds(s) as later, t0 - to_months((12 * y + m)::int) - to_days((7 * w + dd)::int) - to_hours(h) - to_seconds(s) as earlier, case when id % 2 = 0 then ((7 * w + dd) * 86400 + h * 3600 + s)::double end as seconds from t")
 def fn_durations(spark, d):
     """Order dates later and earlier by durations of the orders' own keys, and durations without years and months in seconds."""
     key = c("o_orderkey")
