@@ -58,7 +58,7 @@ STAGES = [
     ("bpe encoding", encoded),
 ]
 
-#: Trained and hashed stages have no SQL; tests hold each stage against a plain version.
+#: Trained and hashed stages have no SQL; tests hold the operators that the stages call against plain versions.
 ORACLE_SQL = None
 
 
