@@ -221,3 +221,22 @@ def ga3_betweenness_of_trade(spark, d):
     """Betweenness of the nations, by all shortest paths between all others."""
     g = _nation_trade(spark, d)
     return A.betweenness(g.edges("SELLS").select("src", "dst"), g.nodes("Nation").select("id")).select("id", F.round("score", 6).alias("score"))
+
+
+@query("select 'Nation' as label, 'id,n_name,n_regionkey' as keys, count(*) as n, sum(n_nationkey) as ids from nation union all select 'Region', 'id,r_name', count(*), sum(r_regionkey) from region union all select 'Supplier', 'id,s_acctbal,s_name,s_nationkey', count(*), sum(s_suppkey) from supplier")
+def fn_labels_keys(spark, d):
+    """labels(n) and keys(n) of nodes, with what lies behind elementId(n)."""
+    nodes = retail_graph(spark, d).all_nodes().where(c("label").isin("Nation", "Region", "Supplier"))
+    return nodes.groupBy("label", F.array_join(F.array_sort(F.json_object_keys("properties")), ",").alias("keys")).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@query("select 'IN_NATION' as kind, c_custkey::varchar as element_id, c_custkey as src, c_nationkey::bigint as dst from customer union all select 'IN_REGION', n_nationkey::varchar, n_nationkey, n_regionkey from nation")
+def fn_type_element_id(spark, d):
+    """type(r), elementId(r) and the ends of edges."""
+    return retail_graph(spark, d).edges("IN_NATION", "IN_REGION").select("kind", c("eid").alias("element_id"), "src", "dst")
+
+
+@query("select n_nationkey as id, to_json({'id': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::varchar as properties from nation")
+def j5_all_properties(spark, d):
+    """All properties of nodes as one value."""
+    return retail_graph(spark, d).all_nodes().where("label = 'Nation'").select("id", "properties")
