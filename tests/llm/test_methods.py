@@ -255,3 +255,20 @@ def test_clashing_columns_repeated_rows_and_long_texts(spark):
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as Score", "2 as row", "3 as id", "4 as lang_pred", "5 as n_words", "6 as pll", "7 as verdict", "8 as size", "9 as text_a", "10 as k1", "11 as doc", "12 as Kept")
     for name, out in _operators(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")).items():
         assert out.count() == len(rows), name
+
+
+def test_run_weights_over_more_than_a_thousand_documents(spark):
+    """Exact frequencies of all runs in a thousandth of 3,000 documents or more, by counting; the others weigh as if they were in that share."""
+    dice = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in dice.zipf(1.6, 12) % 7) if k % 3 else f"common words stand at the front {k} " + " ".join(f"x{x}" for x in dice.integers(0, 40, 6)) for k in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
+    weights = minhash_dedup.run_weights(df)
+    data, offsets = minhash_dedup.string_bytes(pa.array(texts))
+    run, _, _ = minhash_dedup.weighted_runs(data[: offsets[2000]], offsets[:2001], None)
+    rest, _, _ = minhash_dedup.weighted_runs(data[offsets[2000] :], offsets[2000:] - offsets[2000], None)
+    counted = Counter(np.r_[run, rest].tolist())  # distinct in a document, so these are document frequencies
+    keys = np.array(list(counted), np.uint64)
+    n = np.array(list(counted.values()))
+    assert (n < 3).any() and (n == 3).any() and (n > 500).any() and len(texts) > 1000
+    expected = np.where(n >= 0.001 * len(texts), np.log(1 + len(texts) / n), np.log(1 + 1 / 0.001))
+    assert np.allclose(weights.of(keys), expected)
