@@ -9,7 +9,7 @@ from plexgraph.operators import bounded
 from plexgraph.operators import quantiles as Q
 from plexgraph.plans.queries import query
 from plexgraph.plans.tables import table
-from plexgraph.sources import documents, inclusion
+from plexgraph.sources import documents, inclusion, readers
 
 c = F.col
 
@@ -144,3 +144,14 @@ def fn_durations(spark, d):
     whole, short = F.concat(F.lit("P"), piece(4, "Y"), piece(14, "M"), rest), F.when(key % 2 == 0, F.concat(F.lit("P"), rest)).otherwise(F.concat(F.lit("P1Y"), rest))
     at = c("o_orderdate")
     return table(spark, d, "orders").select(key.alias("id"), S.plus_duration(at, whole).alias("later"), S.plus_duration(at, whole, -1).alias("earlier"), S.duration(short).alias("seconds"))
+
+
+@query("""with t as (select event_id::varchar as id, event_type as kind, value::varchar as value, props as props, case when event_id % 7 = 0 then 'x' else props end as mixed, case when event_id < 0 then props end as none from events),
+m as (select 'id' as "column", id as v from t union all select 'kind', kind from t union all select 'value', value from t union all select 'props', props from t union all select 'mixed', mixed from t union all select 'none', none from t)
+select "column", case when count(v) = 0 then 'string' when count(*) filter (where v is not null and lower(v) not in ('true', 'false')) = 0 then 'bool'
+  when count(*) filter (where v is not null and (try_cast(v as bigint) is null or contains(v, '.'))) = 0 then 'int' when count(*) filter (where v is not null and try_cast(v as double) is null) = 0 then 'float'
+  when count(*) filter (where v is not null and json_type(try_cast(v as json)) not in ('OBJECT', 'ARRAY') or v is not null and try_cast(v as json) is null) = 0 then 'json' else 'string' end as type from m group by 1""")
+def s12_types_with_json(spark, d):
+    """The types of the events' columns as text, of JSON, of a mix of JSON and words, and of a column without values."""
+    rows = table(spark, d, "events").select(c("event_id").cast("string").alias("id"), c("event_type").alias("kind"), c("value").cast("string").alias("value"), "props", F.when(c("event_id") % 7 == 0, "x").otherwise(c("props")).alias("mixed"), F.when(c("event_id") < 0, c("props")).alias("none"))
+    return readers.inferred_types(rows)

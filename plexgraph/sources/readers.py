@@ -50,12 +50,16 @@ def is_key(rows: DataFrame, column: str = "id") -> DataFrame:
 
 
 def inferred_types(rows: DataFrame) -> DataFrame:
-    """(column, type) of text columns: the first of bool, int, float that all values have, else string."""
+    """(column, type) of text columns: the first of bool, int, float, json (an object or a list) that all values have, else string.
+
+    A column without values is a string.
+    """
     parts = []
     for c in rows.columns:
         value = F.col(c)
         fits = lambda kind, v=value: F.count_if(v.isNotNull() & v.try_cast(kind).isNull()) == 0
-        named = F.when(F.count(value) == 0, "string").when(F.count_if(value.isNotNull() & ~F.lower(value).isin("true", "false")) == 0, "bool").when(fits("long"), "int").when(fits("double"), "float").otherwise("string")
+        nested = F.ltrim(value).substr(1, 1).isin("{", "[") & F.try_parse_json(value).isNotNull()
+        named = F.when(F.count(value) == 0, "string").when(F.count_if(value.isNotNull() & ~F.lower(value).isin("true", "false")) == 0, "bool").when(fits("long"), "int").when(fits("double"), "float").when(F.count_if(value.isNotNull() & ~nested) == 0, "json").otherwise("string")
         parts.append(F.struct(F.lit(c).alias("column"), named.alias("type")))
     return rows.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
