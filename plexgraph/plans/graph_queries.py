@@ -240,3 +240,25 @@ def fn_type_element_id(spark, d):
 def j5_all_properties(spark, d):
     """All properties of nodes as one value."""
     return retail_graph(spark, d).all_nodes().where("label = 'Nation'").select("id", "properties")
+
+
+def _live_schema_sql() -> str:
+    known = {
+        ("Nation", "nation"): {"n_nationkey": "bigint", "n_name": "string", "n_regionkey": "int"},
+        ("Supplier", "supplier"): {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+        ("Part", "part"): {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    }
+    parts = []
+    for (label, name), columns in known.items():
+        for k, (column, kind) in enumerate(columns.items()):
+            parts.append(f"select '{label}' as label, '{column if k else 'id'}' as property, '{kind}' as type, count(*) = count({column}) as mandatory, count(*) as nodes from {name}")
+    return " union all ".join(parts)
+
+
+@query(_live_schema_sql())
+def s26_live_schema(spark, d):
+    """The properties of some labels of the graph, which of them every node has, and how many nodes there are."""
+    graph = retail_graph(spark, d)
+    counts = graph.label_counts().withColumnRenamed("n", "nodes")
+    parts = [graph.properties(label).withColumn("label", F.lit(label)) for label in ("Nation", "Supplier", "Part")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(counts, "label").select("label", "property", "type", "mandatory", "nodes")
