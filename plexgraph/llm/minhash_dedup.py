@@ -48,7 +48,7 @@ THRESHOLD = 0.8
 #: Runs in this share of the documents or more have their own document frequency.
 SHARE = 0.001
 #: Runs of a chunk of documents that are counted at once, and candidates that are broadcast; more of them are joined.
-CHUNK, BROADCAST = 1 << 22, 1 << 20
+CHUNK, BROADCAST = 1 << 21, 1 << 20
 #: The share of a task's documents is this many documents at least, unless the corpus has fewer.
 CHUNK_LEAST = 8
 #: Entries of the table that orders the runs of crowded texts from rare to common.
@@ -103,18 +103,31 @@ def weighted_runs(data: np.ndarray, offsets: np.ndarray, weights: Weights | None
 
 
 def _chunks(batches):
-    """(runs and their document frequencies, number of documents) of chunks of about CHUNK runs."""
-    held, size, rows = [], 0, 0
+    """(runs and their document frequencies, number of documents) of chunks of about CHUNK runs; what is left at the end joins the last chunk.
+
+    On its own a small rest would report runs of one document, as those are in a share of it.
+    """
+    held, size, rows, last = [], 0, 0, None
     for batch in batches:
         data, offsets = string_bytes(batch.column(0))
         for a, b in blocks(offsets):
             held.append(weighted_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)[0])
             size, rows = size + len(held[-1]), rows + b - a
             if size >= CHUNK:
-                yield *np.unique(np.concatenate(held), return_counts=True), rows
+                if last is not None:
+                    yield last
+                last = *np.unique(np.concatenate(held), return_counts=True), rows
                 held, size, rows = [], 0, 0
     if rows:
-        yield *np.unique(np.concatenate(held), return_counts=True), rows
+        rest = *np.unique(np.concatenate(held), return_counts=True), rows
+        last = rest if last is None else _together(last, rest)
+    if last is not None:
+        yield last
+
+
+def _together(one, other):
+    run, at = np.unique(np.concatenate([one[0], other[0]]), return_inverse=True)
+    return run, np.bincount(at, np.concatenate([one[1], other[1]])).astype(np.int64), one[2] + other[2]
 
 
 def _reports(share: float):
