@@ -33,6 +33,8 @@ A null doc_id takes part; a class whose doc_ids are all null has a null class_id
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +51,8 @@ THRESHOLD = 0.8
 SHARE = 0.001
 #: Runs of a chunk of documents that are counted at once, and candidates that are broadcast; more of them are joined.
 CHUNK, BROADCAST = 1 << 21, 1 << 20
+#: Rows of a batch of runs and counts.
+SLICE = 1 << 18
 #: The share of a task's documents is this many documents at least, unless the corpus has fewer.
 CHUNK_LEAST = 8
 #: Entries of the table that orders the runs of crowded texts from rare to common.
@@ -103,11 +107,12 @@ def weighted_runs(data: np.ndarray, offsets: np.ndarray, weights: Weights | None
 
 
 def _chunks(batches):
-    """(runs and their document frequencies, number of documents) of chunks of about CHUNK runs; what is left at the end joins the last chunk.
+    """(runs of all documents, sorted, number of documents) of chunks of about CHUNK runs; what is left at the end joins the last chunk.
 
     On its own a small rest would report runs of one document, as those are in a share of it.
+    A document has a run once, so that repeats count documents; only whole chunks are sorted, in place.
     """
-    held, size, rows, last = [], 0, 0, None
+    held, size, rows, last, documents = [], 0, 0, None, 0
     for batch in batches:
         data, offsets = string_bytes(batch.column(0))
         for a, b in blocks(offsets):
@@ -115,30 +120,46 @@ def _chunks(batches):
             size, rows = size + len(held[-1]), rows + b - a
             if size >= CHUNK:
                 if last is not None:
-                    yield last
-                last = *np.unique(np.concatenate(held), return_counts=True), rows
-                held, size, rows = [], 0, 0
+                    yield last, documents
+                last = None  # let go before the next one is put together
+                last, documents = _sorted(held), rows
+                size, rows = 0, 0
     if rows:
-        rest = *np.unique(np.concatenate(held), return_counts=True), rows
-        last = rest if last is None else _together(last, rest)
+        held += [] if last is None else [last]
+        last, documents = None, rows + documents
+        last = _sorted(held)
     if last is not None:
-        yield last
+        yield last, documents
+
+
+def _sorted(held: list) -> np.ndarray:
+    """What is held, in one sorted array; the list is emptied."""
+    runs = np.concatenate(held)
+    held.clear()
+    runs.sort()
+    return runs
 
 
-def _together(one, other):
-    run, at = np.unique(np.concatenate([one[0], other[0]]), return_inverse=True)
-    return run, np.bincount(at, np.concatenate([one[1], other[1]])).astype(np.int64), one[2] + other[2]
+def _often(runs: np.ndarray, least: int):
+    """(run, n) in slices: the sorted runs that occur n times, least at least."""
+    size = max(0, len(runs) - least + 1)
+    begins = runs[:size] == runs[least - 1 : least - 1 + size]
+    begins[1:] &= runs[1:size] != runs[:size][:-1]
+    begins = np.flatnonzero(begins)
+    for k in range(0, len(begins), SLICE):
+        run = runs[begins[k : k + SLICE]]
+        yield run, np.searchsorted(runs, run, "right") - begins[k : k + SLICE]
 
 
 def _reports(share: float):
     """(run, n, slack): runs in a share of a chunk's documents at least; the slack is what a run that isn't reported can have. Run -1 has the documents and slack of a chunk."""
 
     def rows(batches):
-        for run, n, documents in _chunks(batches):
+        for runs, documents in _chunks(batches):
             least = max(1, int(share * documents))
-            often = n >= least
-            slack = np.full(int(often.sum()) + 1, least - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[run[often].astype(np.int64), -1]), pa.array(np.r_[n[often], documents]), pa.array(slack)], ["run", "n", "slack"])
+            for run, n in chain(_often(runs, least), [(np.array([-1]), np.array([documents]))]):
+                yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int64)), pa.array(n), pa.array(np.full(len(run), least - 1))], ["run", "n", "slack"])
+            del runs
 
     return rows
 
@@ -147,16 +168,22 @@ def _frequencies(candidates):
     """(run, n) of the candidates, or of all runs."""
 
     def rows(batches):
-        for run, n, _ in _chunks(batches):
-            if candidates is not None:
-                known = candidates.value
-                at = np.minimum(np.searchsorted(known, run), len(known) - 1)
-                run, n = run[known[at] == run], n[known[at] == run]
-            yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int64)), pa.array(n)], ["run", "n"])
+        for runs, _ in _chunks(batches):
+            for run, n in _often(runs, 1) if candidates is None else _found(runs, candidates.value):
+                yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int64)), pa.array(n)], ["run", "n"])
+            del runs
 
     return rows
 
 
+def _found(runs: np.ndarray, known: np.ndarray):
+    """(run, n) in slices: the known runs that occur n times in the sorted ones."""
+    for k in range(0, len(known), SLICE):
+        run = known[k : k + SLICE]
+        n = np.searchsorted(runs, run, "right") - np.searchsorted(runs, run)
+        yield run[n > 0], n[n > 0]
+
+
 def run_weights(texts: DataFrame, share: float = SHARE) -> Weights:
     """Weights from all rows of a one-column DataFrame."""
     # few documents in many partitions: read together, so that a chunk's share is several documents

@@ -1,6 +1,7 @@
 """The methods inside the training-data operators beside enumeration, and cases that each operator has to bear."""
 
 import itertools
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -176,6 +177,27 @@ def test_fingerprint_against_plain_sums():
     assert list(zip(*(x.tolist() for x in media.fingerprint(samples.tobytes())))) == expected
 
 
+def test_chunks_of_runs_are_counted_in_little_memory(monkeypatch):
+    """A chunk and what is left of a task take a few times the bytes of a chunk's runs, and the reports are those of plain counting."""
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 1 << 18)
+    rng = np.random.default_rng(5)
+    per_text = [np.unique(rng.integers(0, 1 << 20, 1 << 10)).astype(np.uint64) for _ in range(500)]
+    given = iter(per_text)
+    monkeypatch.setattr(minhash_dedup, "blocks", lambda offsets: ((i, i + 1) for i in range(len(offsets) - 1)))
+    monkeypatch.setattr(minhash_dedup, "weighted_runs", lambda *_: (next(given).copy(), None, None))
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * len(per_text))], ["text"])
+    tracemalloc.start()
+    try:
+        rows = [(b.column("run").to_numpy(), b.column("n").to_numpy(), b.column("slack").to_numpy()) for b in minhash_dedup._reports(0.006)([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    run, n, slack = map(np.concatenate, zip(*rows))
+    kinds, counts = np.unique(np.concatenate(per_text), return_counts=True)
+    assert dict(zip(run.tolist(), n.tolist())) == dict(zip(kinds[counts >= 3].tolist(), counts[counts >= 3].tolist())) | {-1: 500} and set(slack.tolist()) == {2}
+    assert peak < 6 * 8 * minhash_dedup.CHUNK
+
+
 def test_document_frequencies_against_counting(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "CHUNK", 200)
     rng = np.random.default_rng(6)
