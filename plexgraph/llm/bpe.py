@@ -23,6 +23,7 @@ import heapq
 import json
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,11 +222,14 @@ class _Words(dict):
         if len(word) > CACHED_LENGTH:
             return ids
         if len(self) >= CACHE:
-            self.clear()
-            self[""] = b""
+            self.forget()
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self[""] = b""
+
 
 def codec(path: str) -> Codec:
     """The codec of a file, read once in each Python process."""
@@ -235,11 +239,15 @@ def codec(path: str) -> Codec:
 
 
 def encode_column(path: str):
-    def encode(text: pa.Array) -> pa.Array:
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
-        parts = [own.encode_bytes(t.as_py() or "") for t in text]
-        ends = np.r_[0, np.cumsum(np.array([len(p) // 4 for p in parts], np.int64))].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
+        try:
+            for text in texts:
+                parts = [own.encode_bytes(t.as_py() or "") for t in text]
+                ends = np.r_[0, np.cumsum(np.array([len(p) // 4 for p in parts], np.int64))].astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
+        finally:  # the worker goes on to other tasks, which need the memory
+            own.words.forget()
 
     return F.arrow_udf(encode, "array<int>")
 

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that goes to Python, and rows of a batch of Parquet.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
+
 _own: dict[str, str] = {}
 
 
@@ -48,6 +51,18 @@ def sweep() -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's batches are bounded by bytes: texts are long, and with Spark's bounds on rows a task's whole texts are one batch. Smaller bounds stay."""
+    for name, most in (("execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("parquet.columnarReaderBatchSize", BATCH_ROWS)):
+        spark.conf.set(f"spark.sql.{name}", str(min(most, _number(spark.conf.get(f"spark.sql.{name}")))))
+
+
+def _number(setting: str) -> int:
+    """A setting in bytes or rows, with or without a unit."""
+    digits = setting.lower().rstrip("b").rstrip("kmg")
+    return int(digits) << {"k": 10, "m": 20, "g": 30}.get(setting.lower().rstrip("b")[-1:], 0)
+
+
 def text_keys(text) -> list:
     """Two columns that together name a text: equal for equal texts."""
     text = F.coalesce(text, F.lit(""))

@@ -231,6 +231,38 @@ def test_pipeline_stages_return_the_columns_of_documents(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
 
 
+def test_pipeline_sends_texts_to_python_in_batches_bounded_by_bytes(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    names = [f"spark.sql.{name}" for name in ("execution.arrow.maxBytesPerBatch", "parquet.columnarReaderBatchSize")]
+    before = {name: spark.conf.get(name) for name in names}
+    docs = spark.range(2_000, numPartitions=1).selectExpr("id as doc_id", "repeat('abcdefgh', 1000) as text", "'en' as lang", "'a' as source", "8000L as n_chars")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+    try:
+        corpus_pipeline.mixed_sources(spark, docs, "")
+        found = docs.select("text").mapInArrow(sizes, "rows long, size long").collect()  # 16 MB, one batch before
+        assert sum(r.rows for r in found) == 2_000 and max(r.size for r in found) <= 4.5 * 2**20
+        spark.conf.set(names[0], "1m")
+        corpus_pipeline.mixed_sources(spark, docs, "")
+        assert spark.conf.get(names[0]) == str(1 << 20)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_bpe_lets_go_of_the_words_of_a_task(spark):
+    import pyarrow as pa
+
+    path = bpe.default_vocabulary()
+    docs = docs_of(spark, [" ".join(sentences(20, k)) for k in range(40)])
+    ids = [r.token_ids for r in bpe.encode(docs, path).orderBy("doc_id").collect()]
+    own = bpe.Codec(path)
+    assert ids == [own.encode(r.text) for r in docs.orderBy("doc_id").collect()]
+    held = lambda _: [pa.RecordBatch.from_pydict({"n": [len(bpe.codec(path).words)]})]
+    assert {r.n for r in spark.range(8, numPartitions=4).mapInArrow(held, "n long").collect()} == {1}
+
+
 def test_pipeline_takes_out_whole_characters(spark):
     import corpus_pipeline
 
