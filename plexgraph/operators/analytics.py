@@ -2,34 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexgraph.operators.blocks import Block, Blocks, Numbered, received, runs, sent, sums, xxhash64
 from plexgraph.operators.rounds import Rounds
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
     """(id, score) of the nodes of edges (src, dst): repeated edges count once, a sink's rank isn't dealt out.
 
-    Links are dealt out by their source once and stay so in memory and on disk; ranks come out of each round's only shuffle
-    dealt by the same key, so they meet the links where they are. Every tenth round is kept as a table.
+    Blocks have the links to their nodes. In a round a node's share goes once to each block with a link from it, as packed
+    arrays. Each round is kept as a table, and the one before goes. Edges with a null end are left out.
     """
     kept = Rounds(edges)
-    edges = kept.keep("edges", edges.select("src", "dst").distinct())
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    n = nodes.count()
-    # a node without links has one to itself of no weight, so that it stays among the ranks
-    links = edges.join(degree, "src").select("src", "dst", (1 / F.col("degree")).alias("share")).unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share")))
-    links = links.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    ranks = nodes.withColumn("score", F.lit(1.0 / max(n, 1)))
+    numbered = Numbered(kept, edges.select("src", "dst").where("src is not null and dst is not null"))
+    links = kept.keep("links", numbered.edges.select(F.col("dst").alias("key"), F.col("src").alias("other")))
+    graph = Blocks(kept, links, "graph", once=True)
+    kept.release("links")
+    n = max(graph.n, 1)
+
+    def shares(b: Block, score: np.ndarray):
+        yield from sent(b, "share", score / np.maximum(b.one("degree", np.float64), 1))
+
+    def start(b: Block):
+        return shares(b, np.full(len(b.one("degree", np.float64)), 1 / n))
+
+    def round_(last: bool):
+        def step(b: Block):
+            (share,) = received(b, "share", np.float64)
+            begins = b.one("begins", np.int64)
+            some = np.flatnonzero(np.diff(begins))
+            score = np.full(len(begins) - 1, (1 - damping) / n)
+            score[some] += damping * sums(share[b.one("links", np.int32)], begins[some])
+            if last:
+                yield b.row("score", score)
+            else:
+                yield from shares(b, score)
+
+        return step
+
+    if not rounds:
+        return numbered.named(graph.rows(lambda b: {"id": b.one("ids", np.int64), "score": np.full(len(b.one("ids", np.int64)), 1 / n)}, "id long, score double", graph.node_arrays("ids")), "id")
+    messages = kept.keep("messages", graph.apply(start, graph.node_arrays("need", "degree")))
     for k in range(rounds):
-        sent = links.join(ranks.hint("shuffle_hash"), links.src == ranks.id).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        ranks = sent.select(F.col("dst").alias("id"), (F.lit((1 - damping) / max(n, 1)) + damping * F.col("got")).alias("score"))
-        if k % 10 == 9 or k == rounds - 1:
-            ranks = kept.keep("ranks", ranks)
-    links.unpersist()
+        messages = kept.keep("messages", graph.apply(round_(k == rounds - 1), graph.node_arrays("begins", "need", "degree"), graph.link_arrays("links"), messages))
+    ranks = graph.rows(lambda b: {"id": b.one("ids", np.int64), "score": b.one("score", np.float64)}, "id long, score double", graph.node_arrays("ids"), messages)
+    ranks = kept.keep("ranks", numbered.named(ranks, "id"))
+    graph.release()
     return ranks
 
 
@@ -41,26 +62,86 @@ def top_ranks(ranks: DataFrame, k: int = 20) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, community): the most frequent label around a node wins, its own and then the least of equal ones.
 
-    In each round only every second node by its hash moves, so that two labellings can't swing to and fro.
+    In each round only every second node by its hash moves, so that two labellings can't swing to and fro. Labels go as packed
+    arrays to the blocks that need them, in later rounds those alone that have changed; a node votes only if one around it has.
     """
     kept = Rounds(edges)
-    both = kept.keep("both", edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    best = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("own"), "community")
-    still = 0
-    for k in range(2 * rounds):
-        votes = both.join(labels, both.dst == labels.id).groupBy(both.src.alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
-        votes = votes.join(labels.withColumnRenamed("community", "was"), "id").withColumn("own", F.col("was") == F.col("community"))
-        won = votes.withColumn("k", F.row_number().over(best)).where("k = 1")
-        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
-        new = kept.keep("labels", won.select("id", F.when(moves, F.col("community")).otherwise(F.col("was")).alias("community"), "was"))
-        still = 0 if new.where("community <> was").limit(1).count() else still + 1
-        labels = new.select("id", "community")
-        if still == 2:
+    numbered = Numbered(kept, edges.select("src", "dst").where("src <> dst"))
+    kept_edges = kept.keep("edges", numbered.edges)
+    both = kept_edges.select(F.col("src").alias("key"), F.col("dst").alias("other"))
+    graph = Blocks(kept, both.union(both.select("other", "key")), "graph", once=True)
+    kept.release("edges")
+
+    def vote(k: int):
+        def step(b: Block):
+            ids, begins, links = b.one("ids", np.int64), b.one("begins", np.int64), b.one("links", np.int32)
+            if k == 0:
+                label, ghost, stale = ids.copy(), b.one("ghosts", np.int64), np.ones(len(ids), bool)
+            else:
+                label, ghost, stale = b.one("label", np.int64).copy(), b.one("ghost", np.int64).copy(), b.one("stale", bool).copy()
+                touched = np.zeros(len(ghost), bool)
+                for _, _, data in b.many("changed"):
+                    at = np.frombuffer(data, np.int32, len(data) // 12)
+                    ghost[at], touched[at] = np.frombuffer(data[4 * len(at) :], np.int64), True
+                if touched.any():
+                    stale[np.searchsorted(begins, np.flatnonzero(touched[links]), "right") - 1] = True
+            goes = np.flatnonzero(stale & (xxhash64(ids) % 2 == k % 2))
+            stale[goes] = False
+            won = _most_frequent(begins, links, ghost, label, goes)
+            moved = np.zeros(len(ids), bool)
+            moved[goes] = won != label[goes]
+            label[goes] = won
+            yield b.row("label", label)
+            yield b.row("ghost", ghost)
+            yield b.row("stale", stale)
+            yield from (b.row("moved", value=value) for _, value, _ in b.many("moved"))
+            if moved.any():
+                yield b.row("moved", value=moved.sum())
+                for to, lo, need in b.many("need"):
+                    need = np.frombuffer(need, np.int32)
+                    if len(at := np.flatnonzero(moved[need])):
+                        yield b.row("changed", (at + int(lo)).astype(np.int32).tobytes() + label[need[at]].tobytes(), b.number, 0.0, to)
+
+        return step
+
+    state = None
+    for k in range(0, 2 * rounds, 2):  # both halves of the nodes in one job
+        before = graph.link_arrays("ghosts") if state is None else state
+        for half in (k, k + 1):
+            before = graph.apply(vote(half), graph.node_arrays("ids", "begins", "need"), graph.link_arrays("links"), before)
+        state = kept.keep("labels", before, by="kind")
+        moved = state.where("kind = 'moved'").agg(F.sum("value")).first()[0]
+        state = state.where("kind <> 'moved'")
+        if not moved:
             break
+    label = (lambda b: b.one("ids", np.int64)) if state is None else (lambda b: b.one("label", np.int64))
+    rows = graph.rows(lambda b: {"id": b.one("ids", np.int64), "community": label(b)}, "id long, community long", graph.node_arrays("ids"), *([] if state is None else [state.where("kind = 'label'")]))
+    labels = kept.keep("result", numbered.named(rows, "id", "community"))
+    kept.release("labels")
+    graph.release()
     return labels
 
 
+def _most_frequent(begins: np.ndarray, links: np.ndarray, ghost: np.ndarray, label: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The label that most links of each of the nodes lead to, its own and then the least of equal ones; a node without links keeps its own."""
+    out, number = label[nodes], np.diff(begins)[nodes]
+    if not number.sum():
+        return out
+    labels, code = np.unique(ghost, return_inverse=True)
+    row = np.repeat(np.arange(len(nodes)), number)
+    at = np.arange(len(row)) + np.repeat(begins[nodes] - (np.cumsum(number) - number), number)
+    pairs = np.sort(row * len(labels) + code[links[at]])
+    first = runs(pairs)
+    row, code = np.divmod(pairs[first], len(labels))
+    votes = 2 * np.diff(np.r_[first, len(pairs)]) + (labels[code] == out[row])
+    begin = runs(row)
+    best = np.maximum.reduceat(votes, begin)
+    ties = np.flatnonzero(votes == np.repeat(best, np.diff(np.r_[begin, len(row)])))
+    ties = ties[runs(row[ties])]  # labels ascend within a row
+    out[row[ties]] = labels[code[ties]]
+    return out
+
+
 def communities(labels: DataFrame, least: int = 3, members: int = 10) -> DataFrame:
     """(community, size, members) of communities of at least so many nodes, with the first of their ids."""
     rank = F.row_number().over(Window.partitionBy("community").orderBy("id"))

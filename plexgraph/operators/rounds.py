@@ -25,18 +25,29 @@ class Rounds:
         self.spark, self.kept, self.parts = like.sparkSession, {}, {}
         self.folder = f"{shared_folder(self.spark)}/rounds-{uuid.uuid4().hex}"
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """The rows of df from the shared folder; with by, in a folder for each of its values."""
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        self._write(df.write.partitionBy(by) if by else df.write, path)
         self._drop(self.kept.get(name))
         self.kept[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _write(self, writer, path: str) -> None:
+        """Writes a table and lets go of the shuffle files behind it, which else stay until the driver's JVM collects garbage."""
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            conf.set(key, before)
+
     def append(self, name: str, df: DataFrame) -> DataFrame:
         """Adds rows to the table kept under a name, without writing what is there again; gives the added rows."""
         path = self.kept.setdefault(name, f"{self.folder}/{uuid.uuid4().hex}")
         part = f"{path}/part={len(self.parts.setdefault(name, []))}"
-        df.write.parquet(part)
+        self._write(df.write, part)
         self.parts[name].append(part)
         return self.spark.read.schema(df.schema).parquet(part)
 

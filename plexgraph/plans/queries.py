@@ -291,12 +291,12 @@ _RANKS = ", ".join(f"r{k} as materialized (select nodes.id, 0.15 / (select count
 
 @query(f"with {_PARTS}, nodes as materialized (select src as id from e union select dst from e), g as materialized (select src, count(*) as degree from e group by src), r0 as (select id, 1.0 / (select count(*) from nodes) as score from nodes), {_RANKS} select id, round(score, 8) as score from r30")
 def ga1_pagerank(spark, d):
-    return A.pagerank(co_bought(spark, d)).select("id", F.round("score", 8).alias("score"))
+    return A.pagerank(co_bought(spark, d, repeated=True)).select("id", F.round("score", 8).alias("score"))
 
 
 @query()
 def ga2_communities(spark, d):
-    return A.label_propagation(co_bought(spark, d))
+    return A.label_propagation(co_bought(spark, d, repeated=True))
 
 
 def _next_turns(spark, d):

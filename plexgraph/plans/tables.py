@@ -40,8 +40,10 @@ def retail_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return graph.with_edges("NEXT", following, "Turn", "Turn", c("turn_id"), c("next"), c("turn_id"))
 
 
-def co_bought(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between parts that one order contains."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+def co_bought(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
+    """Edges between parts that one order contains; repeated: once an order, for operators that count repeated edges once."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey is not null and l_partkey is not null")
+    lines = lines.repartition("l_orderkey").distinct()  # dealt as the join needs them
     a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
-    return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    edges = a.join(b, "l_orderkey").where("src < dst").select("src", "dst")
+    return edges if repeated else edges.distinct()
