@@ -199,7 +199,7 @@ class Blocks:
         begins = runs(owners)
         return list(zip(owners[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(ids)]))
 
-    def _plain(self):
+    def plain(self) -> Blocks:
         """Itself for tasks, without Spark's objects."""
         plain = object.__new__(Blocks)
         plain.starts, plain.blocks = self.starts, self.blocks
@@ -207,7 +207,7 @@ class Blocks:
 
     @property
     def _wants(self):
-        plain = self._plain()
+        plain = self.plain()
 
         def step(b: Block):
             ghosts, links = b.one("ghosts", np.int64), b.one("ghost links", np.float64)

@@ -23,7 +23,7 @@ c = F.col
 @query()
 def ga2_louvain(spark, d):
     """Communities of parts by their co-purchases, with the modularity that they reach."""
-    return C.louvain(co_bought(spark, d)).select("id", "community", F.size("levels").alias("levels"), F.round("modularity", 6).alias("modularity"))
+    return C.louvain(co_bought(spark, d, repeated=True), once=True).select("id", "community", F.size("levels").alias("levels"), F.round("modularity", 6).alias("modularity"))
 
 
 _BOUGHT = "l as (select distinct l_orderkey as o, l_partkey as p from lineitem), e as (select distinct a.p as src, b.p as dst from l a join l b on a.o = b.o and a.p < b.p), s as (select src, dst from e union all select dst, src from e)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plexgraph.operators import analytics as A
 from plexgraph.operators import blocks
+from plexgraph.operators import communities as C
 from plexgraph.operators.rounds import Rounds
 
 
@@ -98,3 +99,34 @@ def test_hashes_are_those_of_spark(spark):
     rows = spark.createDataFrame([(i,) for i in ids], "id long").select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(11)).alias("b")).collect()
     assert blocks.xxhash64(np.array(ids)).tolist() == [r.a for r in rows]
     assert blocks.xxhash64(np.array(ids), 11).tolist() == [r.b for r in rows]
+
+
+def test_louvain_is_the_same_in_many_blocks_and_names_moves_as_sums_do(spark, monkeypatch):
+    edges = [(a, b, float(1 + (a * b) % 3)) for a, b in random_edges(5, 40, 120)]
+    df = spark.createDataFrame([*edges, (None, 1, 1.0)], "src long, dst long, weight double")
+    few = {r.id: (r.community, r.levels, round(r.modularity, 9)) for r in C.louvain(df, most_rounds=4, most_levels=3).collect()}
+    monkeypatch.setattr(blocks, "LEAST_LINKS", 40)
+    monkeypatch.setattr(blocks, "MOST_LINKS", 40)
+    assert {r.id: (r.community, r.levels, round(r.modularity, 9)) for r in C.louvain(df, most_rounds=4, most_levels=3).collect()} == few
+    # the first round's best moves, and the modularity of single nodes, beside the joins of best_moves
+    links = C.adjacency(df)
+    m2 = links.agg(F.sum("weight")).first()[0]
+    loops = links.where("src = dst").select(F.col("src").alias("id"), F.col("weight").alias("loop"))
+    labels = links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")).join(loops, "id", "left").select("id", "k", F.col("id").alias("community"), F.coalesce("loop", F.lit(0.0)).alias("loop"))
+    moves = C.best_moves(links, labels, m2).cache()
+    rounds = Rounds(df)
+    graph = blocks.Blocks(rounds, rounds.keep("links", links.select(F.col("src").alias("key"), F.col("dst").alias("other"), "weight")), "graph")
+    assert len(graph.starts) > 2
+    state, quality, gain, first = C._state(rounds, "moves", graph, C._spread(graph, None, None, 0, None), m2, 1.0)
+    rows = graph.rows(lambda b: {"id": b.one("ids", "int64"), "best": b.one("best", "int64"), "gain": b.one("gain", "float64")}, "id long, best long, gain double", graph.node_arrays("ids"), state).collect()
+    assert {r.id: r.best for r in rows} == {r.id: r.best for r in moves.collect()}
+    assert {r.id: r.gain for r in rows} == pytest.approx({r.id: r.gain for r in moves.collect()})
+    assert quality == pytest.approx(C._quality(moves, m2, 1.0)) and gain == max(r.gain for r in rows)
+
+
+def test_louvain_with_repeats_once_and_names(spark):
+    edges = [(a, b) for k in (0, 10) for a in range(k, k + 5) for b in range(k, a)] + [(0, 10)]
+    df = spark.createDataFrame([(f"n{a:02}", f"n{b:02}") for a, b in edges + 30 * [(0, 10)]], "src string, dst string")
+    rows = {r.id: r for r in C.louvain(df, once=True).collect()}
+    assert {n: r.community for n, r in rows.items()} == {f"n{n:02}": "n00" if n < 10 else "n10" for n in (*range(5), *range(10, 15))}
+    assert all(r.levels[-1] == r.community for r in rows.values())
