@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from plexgraph.operators.blocks import Block, Blocks, Numbered, received, runs, sent, sums, xxhash64
 from plexgraph.operators.rounds import Rounds
 
+#: Edges whose nodes make a range of similarity().
+RANGE_EDGES = 200_000
+
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
     """(id, score) of the nodes of edges (src, dst): repeated edges count once, a sink's rank isn't dealt out.
@@ -183,15 +186,26 @@ def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = None) -
 def similarity(edges: DataFrame, least: float = 0.1, undirected: bool = False) -> DataFrame:
     """(a, b, shared, jaccard, cosine) of nodes src that share neighbours dst, or neighbours of either direction.
 
-    All pairs of the nodes around a neighbour are counted, which grows with the square of its degree.
+    All pairs of the nodes around a neighbour are counted, which grows with the square of its degree. Nodes lie in ranges of
+    their ids. A neighbour's list of nodes goes to the ranges that have some of them, and there all pairs with these as the
+    lesser end are made and counted, so that no pair is shuffled.
     """
-    edges = edges.select("src", "dst")
-    edges = (edges.union(edges.select("dst", "src")) if undirected else edges).distinct()
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    left, right = edges.withColumnRenamed("src", "a"), edges.withColumnRenamed("src", "b")
-    shared = left.join(right, "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    rows = shared.join(degree.select(F.col("src").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("src").alias("b"), F.col("d").alias("db")), "b")
-    rows = rows.select("a", "b", "shared", F.round(F.col("shared") / (F.col("da") + F.col("db") - F.col("shared")), 4).alias("jaccard"), F.round(F.col("shared") / F.sqrt(F.col("da") * F.col("db")), 4).alias("cosine"))
+    kept = Rounds(edges)
+    edges = edges.select("src", "dst").where("src is not null and dst is not null")
+    edges = (edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if undirected else edges).repartition("dst").distinct()
+    edges = kept.keep("edges", edges)
+    degree = kept.keep("degree", edges.groupBy("src").agg(F.count(F.lit(1)).alias("d")))
+    ranges = max(1, -(-edges.count() // RANGE_EDGES))
+    ranged = kept.keep("ranged", degree.repartitionByRange(ranges, "src").select("src", "d", F.spark_partition_id().alias("range")))
+    around = edges.join(ranged, "src").groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("src", "d", "range"))).alias("nodes"))
+    # ranges ascend with ids: from a range's first node on, all others are possible greater ends
+    each = around.select("nodes", F.explode(F.array_distinct("nodes.range")).alias("range"))
+    each = each.select("range", F.expr("slice(nodes, array_position(nodes.range, range), size(nodes))").alias("nodes")).where(F.size("nodes") > 1)
+    lists = kept.keep("lists", each.select("range", F.expr("transform(nodes, x -> struct(x.src, x.d))").alias("nodes"), F.expr("least(size(filter(nodes, x -> x.range = range)), size(nodes) - 1)").alias("lesser")))
+    dealt = lists.repartition(ranges, "range").select("range", "nodes", F.explode(F.expr("sequence(1, lesser)")).alias("k"))
+    pairs = dealt.select("range", F.expr("nodes[k - 1]").alias("x"), F.explode(F.expr("slice(nodes, k + 1, size(nodes))")).alias("y"))
+    shared = pairs.groupBy("range", F.col("x.src").alias("a"), F.col("y.src").alias("b"), F.col("x.d").alias("da"), F.col("y.d").alias("db")).agg(F.count(F.lit(1)).alias("shared"))
+    rows = shared.select("a", "b", "shared", F.round(F.col("shared") / (F.col("da") + F.col("db") - F.col("shared")), 4).alias("jaccard"), F.round(F.col("shared") / F.sqrt(F.col("da") * F.col("db")), 4).alias("cosine"))
     return rows.where(F.col("jaccard") >= least)
 
 
